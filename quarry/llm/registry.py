@@ -2,8 +2,12 @@
 
 from quarry.llm.bpe import op9_bpe
 from quarry.llm.decontaminate import OP6_SQL, op6_benchmark_decontamination
+from quarry.llm.quality_rules import op4_quality_rules
+from quarry.llm.sharding import op1_balanced_shards
 
 QUERIES = {
+    "op1_balanced_shards": op1_balanced_shards,
+    "op4_quality_rules": op4_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_bpe": op9_bpe,
 }
