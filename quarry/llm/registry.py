@@ -3,6 +3,7 @@
 from quarry.llm.bpe import op9_bpe
 from quarry.llm.decontaminate import OP6_SQL, op6_benchmark_decontamination
 from quarry.llm.html_text import op8_html_text
+from quarry.llm.ngram_join import OP5_SQL, op5_ngram_join
 from quarry.llm.quality_classifier import op10_quality_classifier
 from quarry.llm.quality_rules import op4_quality_rules
 from quarry.llm.sharding import op1_balanced_shards
@@ -11,10 +12,11 @@ from quarry.llm.url_filter import op7_url_filter
 QUERIES = {
     "op1_balanced_shards": op1_balanced_shards,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_join": op5_ngram_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_url_filter": op7_url_filter,
     "op8_html_text": op8_html_text,
     "op9_bpe": op9_bpe,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES = {"op6_benchmark_decontamination": OP6_SQL}
+ORACLES = {"op5_ngram_join": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL}
