@@ -7,10 +7,12 @@ from quarry.llm.ngram_join import OP5_SQL, op5_ngram_join
 from quarry.llm.quality_classifier import op10_quality_classifier
 from quarry.llm.quality_rules import op4_quality_rules
 from quarry.llm.sharding import op1_balanced_shards
+from quarry.llm.suffix_dedup import OP3_SQL, op3_suffix_dedup
 from quarry.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_balanced_shards": op1_balanced_shards,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -19,4 +21,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES = {"op5_ngram_join": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL}
+ORACLES = {"op3_suffix_dedup": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL}
