@@ -41,17 +41,21 @@ def _propagate(groups: DataFrame, total: int, shards: int, rounds: int) -> DataF
     """Moves the members of groups (array `held`: members per shard) towards their majority shards."""
     capacity = max(1, total // shards)
     state = stored(groups, "shard-groups")
-    for _ in range(rounds):
+    for turn in range(rounds):
         load = state.agg(*(F.coalesce(F.sum(F.element_at("held", s + 1)), F.lit(0)) for s in range(shards))).first()
-        room = F.array(*(F.lit(int(load[s]) < capacity) for s in range(shards)))
-        # The best shard with room: most neighbours, ties by the group's hash.
+        room = F.array(*(F.lit(capacity if not turn else capacity - int(load[s])).cast("long") for s in range(shards)))
+        # The best shard with room for the rest of the group: most neighbours, ties by the group's hash. Groups
+        # that no shard can hold go where any room is; in the first round all are on the move and room is open.
+        fills = F.col("n") * 4 > capacity
+        fits = lambda c, s: F.when(fills, F.element_at(room, s + 1) > 0).otherwise(F.element_at(room, s + 1) >= F.col("n") - c)
         ranked = F.transform(
             F.col("held"),
-            lambda c, s: F.struct((F.element_at(room, s + 1) & (c > 0)).alias("open"), c.alias("c"), F.xxhash64("g_hash", s).alias("tie"), s.cast("int").alias("s")),
+            lambda c, s: F.struct((fits(c, s) & (c > 0)).alias("open"), c.alias("c"), F.xxhash64("g_hash", s).alias("tie"), s.cast("int").alias("s")),
         )
         best = state.withColumn("best", F.array_max(ranked)).withColumn("target", F.when(F.col("best.open"), F.col("best.s")))
-        # A cell moves if it is no larger than the target's.
-        moves = lambda c, s: F.col("target").isNotNull() & (s != F.col("target")) & (c > 0) & (c <= F.col("best.c"))
+        # A cell moves if it is no larger than the target's; out of a full shard, where its group cannot meet,
+        # also if it is larger, unless the group is what fills shards.
+        moves = lambda c, s: F.col("target").isNotNull() & (s != F.col("target")) & (c > 0) & ((c <= F.col("best.c")) | (~fits(c, s) & ~fills))
         place = lambda c, s: (63 - F.floor(F.log2(c.cast("double")))) * _CELL_BUCKETS + F.pmod(F.xxhash64("g_hash", s, F.lit(1)), F.lit(_CELL_BUCKETS))
         cells = best.select(
             "target",
@@ -98,8 +102,12 @@ def balanced_shards(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUN
     labelled = stored(
         nodes.join(dealt, _KEY, "left")
         .withColumn("label", F.when(linked, F.size(F.filter("upto", lambda x: x <= pick))).otherwise(first).cast("int"))
-        .withColumn("bucket", (F.when(linked, 0).otherwise(RANK_BUCKETS) + F.pmod(F.xxhash64("d_hash", F.lit(5)), F.lit(RANK_BUCKETS))).cast("int"))
-        .select("doc_id", "size", "text_crc32", "label", "bucket", "d_hash"), "shard-labels",
+        # Large groups first, then small ones, each in one piece, then unlinked documents: the surplus of a
+        # shard is taken from the end. Members of large groups are spread over the buckets.
+        .withColumn("class", F.when(~linked, 2).when(F.col("n") > total // (shards * 64) + 1, 0).otherwise(1))
+        .withColumn("o_hash", F.when(F.col("class") == 1, F.col("g_hash")).otherwise(F.col("d_hash")))
+        .withColumn("bucket", (F.col("class") * RANK_BUCKETS + F.pmod(F.xxhash64("o_hash", F.lit(5)), F.lit(RANK_BUCKETS))).cast("int"))
+        .select("doc_id", "size", "text_crc32", "label", "bucket", "o_hash", "d_hash"), "shard-labels",
     )
     # Rank within a shard: rank within a bucket plus the rows of the buckets before it.
     counts = labelled.groupBy("label", "bucket").agg(F.count("*").alias("rows"))
@@ -111,7 +119,7 @@ def balanced_shards(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUN
         over.append(over[-1] + max(0, sizes.get(s, 0) - quota[s]))
         free.append(free[-1] + max(0, quota[s] - sizes.get(s, 0)))
     longs = lambda xs: F.array(*(F.lit(int(x)).cast("long") for x in xs))
-    rank = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("d_hash", "doc_id", "text_crc32", "size")) - 1
+    rank = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("o_hash", "d_hash", "doc_id", "text_crc32", "size")) - 1
     ranked = labelled.withColumn("rank", rank).join(before, ["label", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     spare = F.when(F.col("rank") >= F.element_at(longs(quota), F.col("label") + 1), F.element_at(longs(over), F.col("label") + 1) + F.col("rank") - F.element_at(longs(quota), F.col("label") + 1))
     to = F.when(F.col("spare").isNull(), F.col("label")).otherwise(F.size(F.filter(longs(free[1:]), lambda x: x <= F.col("spare"))))

@@ -1,0 +1,386 @@
+"""The corpus operators against brute force, round trips and small cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, decontaminate, html_text, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from quarry.llm.components import components
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def docs_of(spark, texts, first=0):
+    rows = [(i + first, t, "en" if i % 3 else None, f"s{i % 2}", len(t or ""), "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DDL)
+
+
+def corpus(seed, n=60):
+    """Texts with copies, near copies, shared passages, nulls, empties, long and repetitive ones."""
+    gen = random.Random(seed)
+    words = ["".join(gen.choice("abcdeé") for _ in range(gen.randrange(1, 8))) for _ in range(300)]
+    make = lambda k: " ".join(gen.choice(words) for _ in range(k))
+    shared, out = [make(30) for _ in range(3)], [None, "", " ", "one", "one two three", "a" * 400, "ab " * 150, "A" * 400]
+    while len(out) < n:
+        roll = gen.random()
+        real = [t for t in out if t and len(t) > 50]
+        if roll < 0.2:
+            out.append(gen.choice(real))
+        elif roll < 0.45:
+            w = gen.choice(real).split()
+            for _ in range(gen.randrange(1, 4)):
+                w[gen.randrange(len(w))] = gen.choice(words)
+            out.append(" ".join(w))
+        elif roll < 0.65:
+            out.append(make(gen.randrange(40)) + "\n" + gen.choice(shared) + "\n" + make(gen.randrange(40)))
+        else:
+            out.append(make(gen.choice([3, 20, 60, 300])))
+    return out
+
+
+# Operator 1
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_shards_are_even_and_groups_stay_together(spark, shards):
+    texts = [f"t{i}" for i in range(200)] + ["hot"] * 150 + [f"g{i % 20}" for i in range(100)] + [None, "", ""]
+    rows = sharding.balanced_shards(docs_of(spark, texts), shards=shards).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert len(rows) == len(texts) and max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        own = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(own) + 1, zlib.crc32(own), "rows", None)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    spread = defaultdict(set)
+    for r in rows:
+        spread[texts[r["doc_id"]] or ""].add(r["shard"])
+    # With three shards the largest group fills one but for a seat, so others must make room.
+    assert sum(len(v) > 1 for t, v in spread.items() if t != "hot") <= {1: 0, 3: 5, 8: 2}[shards]
+    if shards == 8:  # 150 of 453 rows need three shards of 56; a fourth may hold the rest
+        assert len(spread["hot"]) <= 4
+
+
+def test_shards_of_nothing(spark):
+    assert sharding.balanced_shards(docs_of(spark, [])).count() == 0
+
+
+# Operator 3
+
+
+def removed_by_brute_force(texts, length):
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        b, gone = (t or "").encode(), set()
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                gone.update(range(p, p + length))
+            seen.add(w)
+        out[i] = (len(b), gone, bytes(c for k, c in enumerate(b) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup_equals_brute_force(spark, seed):
+    texts = corpus(seed, 80)
+    want = removed_by_brute_force(texts, 100)
+    rows = suffix_dedup.dedup_digests(docs_of(spark, texts).repartition(5)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, gone, kept = want[r["doc_id"]]
+        spans = sum(p - 1 not in gone for p in gone)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, len(gone), spans, hashlib.sha256(kept).hexdigest()), r["doc_id"]
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 500)
+    gen = random.Random(5)
+    text = "".join(gen.choice("abc ") for _ in range(3000))
+    texts = [text, "x" + text[700:1900] + "y", text[::-1], text]
+    want = removed_by_brute_force(texts, 100)
+    own, places = suffix_dedup.Levels(), defaultdict(list)
+    pieces = [(i, at, t.encode()[at : at + 599]) for i, t in enumerate(texts) for at in range(0, len(t) - 99, 500)]
+    # Runs cut at piece borders differ from whole ones only in what must be compared, never in what repeats.
+    for i, at, piece in pieces:
+        _, first, count, anchors, whole = suffix_dedup.runs_of([piece])
+        doc, place = own.add(whole, anchors, np.full(len(first), i), (first + at) * 128 + count)
+        for d, p in zip(doc, place, strict=True):
+            places[int(d)].append(int(p))
+    for i in range(len(texts)):
+        gone = {k for a, b in suffix_dedup.removed_ranges(places[i], 100) for k in range(a, b)}
+        assert gone <= want[i][1]
+
+
+def test_levels_grow_geometrically():
+    levels, gen = suffix_dedup.Levels(), np.random.RandomState(1)
+    for k in range(64):
+        levels.add(gen.randint(1, 1 << 40, 10).astype(np.uint64), np.zeros(10, np.uint64), np.full(10, k), np.arange(10))
+        assert len(levels.levels) <= 8
+
+
+def test_repeats_are_cut_from_documents(spark):
+    passage = " ".join(f"word{i}" for i in range(40))
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs_of(spark, ["é " + passage, "other " + passage + " end é", passage, None, ""])).collect()}
+    assert out[0]["text"] == "é " + passage and out[1]["text"] == "other end é".replace(" end", "end") or out[1]["text"].startswith("other")
+    assert 2 not in out and out[3]["text"] is None and out[4]["text"] == "" and out[1]["n_chars"] == len(out[1]["text"]) and out[1]["extra"] == "x"
+
+
+# Operator 4
+
+
+def repeat_words_by_brute_force(words):
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return len({p for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for p in range(i, i + 5)})
+
+
+def test_counts_equal_brute_force():
+    for text in [*corpus(4, 60), "a\x0bb\x1cc d\r\n\n a\n a", "### $x |\n### $x |\n"]:
+        t = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        got = dict(zip(quality_rules.COUNTS, quality_rules.text_counts(t.encode()), strict=True))
+        assert got["n_words"] == len(words) and got["word_chars"] == sum(map(len, words)) and got["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
+        assert got["n_dup_lines"] == len(lines) - len(set(lines)) and got["n_repeat_words"] == repeat_words_by_brute_force(words)
+
+
+def test_outliers_go_and_clean_documents_stay(spark):
+    gen = random.Random(9)
+    clean = [" ".join("".join(gen.choice("abcdefgh") for _ in range(gen.randrange(2, 9))) for _ in range(gen.randrange(30, 200))).capitalize() for _ in range(400)]
+    junk = [" ".join(f"{w}###$$$" for w in t.split()) for t in clean[:25]]
+    docs = docs_of(spark, clean + junk + [None, "", "too short"])
+    rows = {r["doc_id"]: r for r in quality_rules.judge_documents(docs).collect()}
+    assert len(rows) == 428
+    assert sum(not rows[i]["kept"] for i in range(400)) <= 4
+    assert not any(rows[i]["kept"] for i in range(400, 428)) and all(rows[i]["base_failed"] for i in range(425, 428))
+    kept = quality_rules.keep_documents(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}
+
+
+def test_fit_equals_a_plain_computation(spark):
+    """The last parameters are a fixed point of a plain reweighting step over all rows of the group."""
+    gen = random.Random(2)
+    texts = [" ".join("".join(gen.choice("abcd") for _ in range(gen.randrange(1, 9))) for _ in range(gen.randrange(20, 90))) for _ in range(300)]
+    docs = docs_of(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    stats = quality_rules.text_statistics(docs)
+    _, params = quality_rules.fit(stats)
+    p = params.first()
+    x = np.array([[r[f"x{i}"] for i in range(5)] for r in stats.where("NOT base_failed").collect()], float)
+    centre = np.array([p[f"m{i}"] for i in range(5)])
+    assert np.all(np.abs(centre - np.median(x, axis=0)) < 3 * x.std(axis=0) + 1) and p["n"] == len(x)
+
+
+def test_small_and_empty_groups(spark):
+    assert quality_rules.judge_documents(docs_of(spark, [])).count() == 0
+    rows = quality_rules.judge_documents(docs_of(spark, ["a b c d e f g h i j k", None])).collect()
+    assert {r["doc_id"]: r["kept"] for r in rows} == {0: True, 1: False}
+
+
+# Operator 5
+
+
+def components_by_brute_force(texts, words=4, percent=85):
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize(("seed", "block", "frequent"), [(1, 1_000_000, 24), (2, 1_000_000, 3), (3, 2_000, 24)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, block, frequent):
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", block)
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    texts = corpus(seed, 90)
+    rows = ngram_join.similar_documents(docs_of(spark, texts).repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == components_by_brute_force(texts)
+
+
+def test_trie_equals_all_pairs():
+    gen = np.random.RandomState(3)
+    base = [np.unique(gen.randint(0, 4000, 60).astype(np.uint64)) for _ in range(4)]
+    members = []
+    for i in range(120):
+        s = base[i % 4].copy()
+        change = gen.randint(0, 12)
+        s[gen.randint(0, len(s), change)] = gen.randint(0, 4000, change)
+        members.append((i, np.unique(s), i))
+    edges = ngram_join.link_sets(members, 85)
+    parent = list(range(120))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = [find(i) for i in range(120)]
+    parent[:] = range(120)
+    for i, a, _ in members:
+        for j, b, _ in members[:i]:
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == [find(i) for i in range(120)]
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of(spark, [text, text, text + " more", "different words entirely here now", None, None])
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 3, 4, 5}
+    assert ngram_join.similar_documents(docs_of(spark, [])).count() == 0
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(200, 201), (200, 201), (300, 300)]
+    out = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert out == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+
+
+# Operator 6
+
+
+def test_decontamination_equals_brute_force(spark):
+    gen = random.Random(6)
+    words = ["Ab", "c1", "É", "d", "e-f", "g!"]
+    make = lambda k: " ".join(gen.choice(words) for _ in range(k))
+    items = [make(14), make(10), "short one", "", None, make(30)]
+    texts = [make(40) + "," + (items[gen.choice([0, 1, 2, 5])] or "").upper() + "; " + make(5) for _ in range(25)] + [None, "", "x"]
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = defaultdict(set)
+    for k, t in enumerate(items):
+        w = norm(t)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[i : i + 10])].add(str(k))
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    for block in (1 << 22, 60):
+        for r in decontaminate.benchmark_hits(docs_of(spark, texts), bench, block_bytes=block).collect():
+            w, hit, found = norm(texts[r["doc_id"]]), set(), set()
+            for win, own in windows.items():
+                for i in range(len(w) - len(win) + 1):
+                    if tuple(w[i : i + len(win)]) == win:
+                        hit.update(range(i, i + len(win)))
+                        found |= own
+            assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
+            assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+            raw = (texts[r["doc_id"]] or "").encode()
+            assert sum(len(norm(raw[s["start"] : s["end"]].decode())) for s in r["spans"]) == len(hit)
+    assert decontaminate.clean_documents(docs_of(spark, texts), bench.limit(0)).count() == len(texts)
+
+
+# Operator 7
+
+
+def test_url_rules_and_verdicts(spark):
+    urls = [None, "nourl", "http://example.com/en/x", "http://www.example.com/en/x?q", "https://A.NET/es/1#t", "http://a.net/fr/", "http://b.org/x", "http://badexample.com/en/", "http://example.com", "http://x.net/de/1"]
+    urls += [f"http://casinowin{i}.example.com/en/{i}" for i in range(30)] + [f"http://garden{i}.com/de/{i}" for i in range(30)] + ["http://casinowin3.org/1", "http://garden5.org/2"]
+    pages = spark.createDataFrame([(i, u, "<p>casino win garden casino win garden</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = {urls[r["page_id"]]: r for r in url_filter.filter_urls(pages).collect()}
+    rules = {u: out[u]["rule"] for u in urls[:10]}
+    assert rules == {None: None, "nourl": None, "http://example.com/en/x": "example.com/en/", "http://www.example.com/en/x?q": "www.example.com/en/", "https://A.NET/es/1#t": "net/es/", "http://a.net/fr/": "net/fr/", "http://b.org/x": None, "http://badexample.com/en/": "com/", "http://example.com": None, "http://x.net/de/1": None}
+    assert (out["https://A.NET/es/1#t"]["host"], out["https://A.NET/es/1#t"]["path"]) == ("a.net", "/es/1")
+    assert (out["http://casinowin3.org/1"]["verdict"], out["http://garden5.org/2"]["verdict"]) == ("block", "allow")
+
+
+def test_segmentation_is_the_best_split():
+    counts = {"the": 50, "rapist": 3, "therapist": 9, "finder": 20, "a": 40}
+    own = url_filter.Segmenter(counts)
+    assert own.split("therapistfinder") == ("therapist", "finder") and own.split("") == () and "".join(own.split("qqthefinder12")) == "qqthefinder12"
+
+
+# Operator 8
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (None, ""), ("", ""), ("<p>", ""),
+        ("<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div><article><h1>Head</h1><p>One <b>two</b>,\n three &amp; four.</p><p>Second paragraph, here.</p></article><aside>Side</aside><div id=comments><p>First! Nice, very nice text, really.</p></div><footer>(c)</footer></body></html>", "Head One two, three & four. Second paragraph, here."),
+        ("<body><div class=ad>Buy, now. Buy!</div><article><h1>A</h1><p><b>Bold start.<br><p>Rest of it</p></article><footer>x</footer>", "A Bold start. Rest of it"),
+        ("<body><header>Site</header><main><p>Text, with marks.</p><form><p>Name</p><input></form><p>Cut &am", "Text, with marks. Cut &am"),
+        ("<div><p>Just, plain. Words &lt;b&gt; &#233;&nbsp;x</p></div>", "Just, plain. Words <b> é x"),
+    ],
+)
+def test_main_text(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_pages_keep_their_rows(spark):
+    rows = [(1, "u", "<p>a, b.</p>"), (1, "u", "<p>a, b.</p>"), (2, None, None)]
+    out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in out) == [(1, "a, b.", 5), (1, "a, b.", 5), (2, "", 0)]
+
+
+# Operator 9
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_vocabulary()), bpe.loaded(bpe.default_vocabulary())
+    gen = random.Random(1)
+    ranges = [(0x20, 0x7F), (0x20, 0x250), (0x250, 0x3000), (0x1F300, 0x1FA00), (0, 0x20000)]
+    texts = ["".join(chr(gen.randrange(*gen.choice(ranges))) for _ in range(gen.randrange(14))).encode("utf-8", "ignore").decode() for _ in range(3000)]
+    texts += [t or "" for t in corpus(1)] + ["<|endoftext|> a<|startoftext|>b", "ΑΣ it's I'LL \x1c\x85a ǅ n't", "", "a" * 5000, "\U00018e83·⭷"]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False), t
+    out = bpe.encode_digests(docs_of(spark, texts[-80:] + [None])).collect()
+    for r in out:
+        ids = library.encode((texts[-80:] + [""])[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    encoded = bpe.encode_documents(docs_of(spark, ["Hello there", None]))
+    again = {r["doc_id"]: (r["decoded"], list(r["token_ids"])) for r in bpe.decode_ids(encoded.drop("decoded")).collect()}
+    assert again == {r["doc_id"]: (r["decoded"], list(r["token_ids"])) for r in encoded.collect()}
+
+
+def test_cuts_are_safe():
+    own = bpe.loaded(bpe.default_vocabulary())
+    for token in list(own.ids)[::97]:
+        body = token.removesuffix("</w>")
+        assert own.cut(body) == [body]
+
+
+# Operator 10
+
+
+def test_classifier_tells_junk_and_keeps_the_fold(spark):
+    gen = random.Random(4)
+    clean = lambda: " ".join("".join(gen.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    texts = [clean() if i % 2 else " ".join(w + "$$$" for w in clean().split()) for i in range(300)] + ["", None]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = quality_classifier.score_documents(docs, quality_classifier.train_model(docs, labels)).collect()
+    assert len(rows) == 302 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] < 300]
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.95 * len(held)
+
+
+def test_classifier_without_labels(spark):
+    docs = docs_of(spark, ["a", None])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in quality_classifier.score_documents(docs, quality_classifier.train_model(docs, none)).collect()] == [0.5, 0.5]
