@@ -104,11 +104,11 @@ def _(s, d):
 
 
 @query("j15_coverage", """
-SELECT 'customers' AS category, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT 'parts', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)""")
+SELECT 'customers' AS category, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+UNION ALL SELECT 'parts', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)""")
 def _(s, d):
-    a = R.coverage(table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "orders").select(F.col("o_custkey").alias("id")), "id", "customers")
-    return a.union(R.coverage(table(s, d, "part").select(F.col("p_partkey").alias("id")), table(s, d, "lineitem").where("l_quantity > 20").select(F.col("l_partkey").alias("id")), "id", "parts"))
+    a = R.coverage(table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")), "id", "customers")
+    return a.union(R.coverage(table(s, d, "part").select(F.col("p_partkey").alias("id")), table(s, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("id")), "id", "parts"))
 
 
 @query("j16_supplement", """
