@@ -3,6 +3,7 @@
 from quarry.llm.bpe import op9_bpe
 from quarry.llm.decontaminate import OP6_SQL, op6_benchmark_decontamination
 from quarry.llm.html_text import op8_html_text
+from quarry.llm.license_scan import op2_license_scan
 from quarry.llm.ngram_join import OP5_SQL, op5_ngram_join
 from quarry.llm.quality_classifier import op10_quality_classifier
 from quarry.llm.quality_rules import op4_quality_rules
@@ -12,6 +13,7 @@ from quarry.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_balanced_shards": op1_balanced_shards,
+    "op2_license_scan": op2_license_scan,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,

@@ -384,3 +384,33 @@ def test_classifier_without_labels(spark):
     docs = docs_of(spark, ["a", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in quality_classifier.score_documents(docs, quality_classifier.train_model(docs, none)).collect()] == [0.5, 0.5]
+
+
+# Operator 2
+
+
+def test_license_scan_equals_exact_containment(spark):
+    from quarry.llm import license_scan as L
+
+    gen = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    make = lambda k: " ".join(gen.choice(words) for _ in range(k))
+    texts = [None, "", "MIT", "x"]
+    for _ in range(80):
+        name, notice = gen.choice(L.TEMPLATES)
+        w = notice.split()
+        if gen.random() < 0.4 and len(w) > 30:
+            w[gen.randrange(len(w))] = "changed"
+        texts.append(make(gen.randrange(60)) + " " + " ".join(w) + " " + make(gen.randrange(60)))
+    want = {}
+    for i, t in enumerate(texts):
+        _, grams = L.shingle_sequence((t or "").encode())
+        want[i] = set()
+        for name, notice in L.TEMPLATES:
+            own = np.unique(L.shingle_sequence(notice.encode())[1])
+            for size in (len(own) * 2 + 8,):
+                if any(len(np.intersect1d(own, grams[a : a + size])) >= 0.8 * len(own) for a in range(max(1, len(grams)))):
+                    want[i].add(name)
+    out = {r["doc_id"]: set(r["licenses"]) for r in L.scan_licenses(docs_of(spark, texts)).collect()}
+    assert out == want
+    assert 1 - (1 - 0.8 / (2 * L.RATIO + 0.2) ** L.ROWS) ** L.BANDS > 1 - 1e-5
