@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of the six characters that end a word in the plain word definition.
 SPACE_BYTES = b" \t\n\r\x0b\x0c"
@@ -39,6 +40,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The largest whole classes of counts that hold at most `most` rows. Classes are a sixteenth of a doubling
+    wide, so a few hundred rows tell where to cut, and no task sends its own best rows to the driver."""
+    counts = stored(counts, "counts")
+    place = F.floor(F.log2(F.col(n).cast("double")) * 16)
+    sizes = sorted(((r["place"], r["count"]) for r in counts.groupBy(place.alias("place")).count().collect()), reverse=True)
+    total, cut = 0, None
+    for at, size in sizes:
+        total += size
+        if total > most:
+            break
+        cut = at
+    return counts.where(place >= cut) if cut is not None else counts.limit(0)
+
+
 def partitions_for(spark: SparkSession, floor: int = 0) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

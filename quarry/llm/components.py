@@ -10,27 +10,28 @@ from quarry.llm.common import stored
 MAX_ROUNDS = 40
 
 
-def _stars(both: DataFrame, large: bool) -> DataFrame:
-    """Joins each node's neighbours to the least of them. Neighbours are summed up before they are joined
-    back, so a hub is one small row on one side and a splittable run of rows on the other."""
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = both.join(least, "u")
-    if large:
-        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+def _joined(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with the least node m around u, that least node per u). Neighbours are summed up before they are
+    joined back, so a hub is one small row on one side and a splittable run of rows on the other."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    return edges.join(least, "u"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges(a, b); the component is its least id."""
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = stored(links, "links")
+    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     for _ in range(MAX_ROUNDS):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        wide = _stars(both, True).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        links = stored(_stars(wide, False).where("u <> v").distinct(), "links")
+        # Large star: neighbours above a node join the least node around it.
+        joined, _least = _joined(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        wide = stored(joined.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        # Small star: neighbours below a node, and the node, join the least of them.
+        joined, least = _joined(wide)
+        near = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        links = stored(near.where("u > v").distinct(), "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if state == before:
             break
         before = state
-    return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(links.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    heads = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(heads)

@@ -8,15 +8,22 @@ candidates: a bucket gives star edges to its least id (already where the rows
 are, so a hot part sends one row per batch), and the candidate graph's
 components bring possible links together without pairs.
 
-Within a component the sets are stored in a path-compressed trie. A set is
-traversed against it once, partial overlaps being shared by all sets below a
-node; subtrees are pruned by the overlap that the remaining lengths still
-allow, by the sizes they hold, and when all their sets are connected to the
-probe already (only connectivity is asked). Large components are split into
+Within a component the sets are stored in a path-compressed trie. The sets go
+down it together, partial overlaps being shared by all sets below a node; a set
+leaves a subtree when the remaining lengths cannot make up the overlap that it
+lacks, or when its size fits nothing there. Only links that connect something
+are listed. In a trie, n-grams of one set alone come after the others, each
+group in the global order. Large components are split into
 blocks: blocks are joined on their own, their clusters' first sets are joined
 with each other, and the few sets that are still outside the main cluster probe
 every block. No link between different texts is lost, and none is listed twice.
 
+N-grams that very many documents share (passages, common lines) would make
+unlike documents candidates. The part keys leave out the most frequent ones, at
+most `FREQUENT_MOST` of those counted `FREQUENT` times or more. That is safe
+for any choice of them: without some n-grams two sets differ in no more of them
+than before. Similarity itself is always taken on whole sets.
+
 Empty parts: with e empty parts in a set, agreement may be empty too. Parts
 exceed the greatest possible difference by a slack; sets with more empty parts
 than the slack also meet by their prefix n-grams, which no pair can evade.
@@ -32,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, partitions_for, slices, stored, table
+from quarry.llm.common import as_bytes, most_frequent, partitions_for, slices, stored, table
 from quarry.llm.components import components
 from quarry.llm.hashing import mix, shingles, word_hashes
 
@@ -44,6 +51,8 @@ WORDS, PERCENT = 4, 85
 BLOCK_WEIGHT, SET_WEIGHT = 1_000_000, 400
 #: Clusters of a large component that are compared before single sets are.
 FIRST_SETS = 500
+#: N-grams counted this often are left out of part keys; the bound of their broadcast.
+FREQUENT, FREQUENT_MOST = 24, 200_000
 
 
 def ngram_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -64,25 +73,29 @@ class Parts:
         """(parts, slack) for sets of the classes j - 1 and j."""
         most = self.lows[j + 1] - 1
         differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        slack = 1 + most // 64
+        slack = 2 + differ // 4
         return differ + 1 + slack, slack
 
-    def keys(self, grams: np.ndarray) -> np.ndarray:
+    def keys(self, whole: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         """Bucket keys of one set: both schemes' parts, and prefix n-grams where parts are too often empty."""
-        n = len(grams)
+        n = len(whole)
         if not n:
-            return grams
+            return whole
+        grams = whole
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)
+            grams = whole[frequent[at] != whole]
         k = int(np.searchsorted(self.edges, n, side="right")) - 1
         out = []
         for j in (k, k + 1):
             parts, slack = self.scheme(j)
             own = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sums = np.add.reduceat(mix(grams + np.uint64(0x51ED270B)), firsts)
+            firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+            sums = np.add.reduceat(mix(grams + np.uint64(0x51ED270B)), firsts) if len(own) else np.empty(0, np.uint64)
             out.append(mix(sums + own[firsts] * np.uint64(0xA24BAED4963EE407) + np.uint64(j + 1) * np.uint64(0x9FB21C651E98DF25)))
             if parts - len(firsts) > slack:
                 prefix = n - -(-n * self.percent // 100) + 1
-                out.append(mix(grams[:prefix] + np.uint64(j + 1) * np.uint64(0xD1B54A32D192ED03)))
+                out.append(mix(whole[:prefix] + np.uint64(j + 1) * np.uint64(0xD1B54A32D192ED03)))
         return np.unique(np.concatenate(out))
 
 
@@ -108,11 +121,39 @@ def _flow(key: np.ndarray, kind: int, a, b) -> pa.RecordBatch:  # noqa: ANN001
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), kinds, a if isinstance(a, pa.Array) else pa.array(a), pa.array(b)], schema=_FLOW)
 
 
+def frequent_grams(docs: DataFrame, words: int) -> np.ndarray:
+    """The most frequent n-grams, sorted. Where the texts are, only those that repeat are counted further."""
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1])], schema=schema)
+
+        size = 0
+        for batch in slices(batches, "text", 8 << 20):
+            own = [ngram_set(t, words) for t in as_bytes(batch.column("text"))]
+            held += own
+            size += sum(map(len, own))
+            if size > 4_000_000:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long")
+    top = most_frequent(rows.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "n", FREQUENT_MOST).select("gram").toArrow()
+    return np.sort(top.column("gram").to_numpy().view(np.uint64))
+
+
 def candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """First pass over the texts."""
+    common = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(percent)
+        parts, frequent = Parts(percent), common.value
         for batch in slices(batches, "text", 8 << 20):
             ids = batch.column("doc_id")
             sets = [ngram_set(t, words) for t in as_bytes(batch.column("text"))]
@@ -129,7 +170,7 @@ def candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if head != numbers[at]:
                     same.append((head, int(numbers[at])))
                     continue
-                own = parts.keys(s)
+                own = parts.keys(s, frequent)
                 keys.append(own)
                 owners.append(np.full(len(own), numbers[at]))
             edges = [np.array(same, np.int64).reshape(-1, 2)]
@@ -169,113 +210,130 @@ def candidate_edges(rows: DataFrame, n: int) -> DataFrame:
 
 
 class _Node:
-    __slots__ = ("tokens", "children", "own", "least", "most", "any", "mixed")
+    __slots__ = ("tokens", "children", "own", "least", "most")
 
-    def __init__(self, tokens: np.ndarray, size: int, member: int):
+    def __init__(self, tokens: np.ndarray, size: int):
         self.tokens, self.children, self.own = tokens, {}, []
-        self.least, self.most, self.any, self.mixed = size, size, member, False
+        self.least, self.most = size, size
 
 
 class Trie:
-    """Ordered sets with shared prefixes; members are numbers of a union-find forest."""
+    """Ordered sets with shared prefixes, path-compressed."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.root = _Node(np.empty(0, np.uint64), 1 << 60, -1)
+    def __init__(self) -> None:
+        self.root = _Node(np.empty(0, np.int64), 1 << 60)
         self.root.most = 0
-        self.parent: list[int] = []
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
 
-    def insert(self, grams: np.ndarray, member: int) -> None:
-        node, at, n = self.root, 0, len(grams)
+    def insert(self, tokens: np.ndarray, member: int) -> None:
+        node, at, n = self.root, 0, len(tokens)
         while True:
             node.least, node.most = min(node.least, n), max(node.most, n)
-            if node.any < 0:
-                node.any = member
-            node.mixed = node.mixed or self.find(node.any) != self.find(member)
             if at == n:
                 node.own.append(member)
                 return
-            child = node.children.get(int(grams[at]))
+            child = node.children.get(int(tokens[at]))
             if child is None:
-                leaf = _Node(grams[at:], n, member)
+                leaf = _Node(tokens[at:], n)
                 leaf.own.append(member)
-                node.children[int(grams[at])] = leaf
+                node.children[int(tokens[at])] = leaf
                 return
             m = min(len(child.tokens), n - at)
-            differ = np.flatnonzero(child.tokens[:m] != grams[at : at + m])
+            differ = np.flatnonzero(child.tokens[:m] != tokens[at : at + m])
             common = int(differ[0]) if len(differ) else m
             if common < len(child.tokens):  # split the edge
-                upper = _Node(child.tokens[:common], child.least, child.any)
-                upper.most, upper.mixed = child.most, child.mixed
+                upper = _Node(child.tokens[:common], child.least)
+                upper.most = child.most
                 upper.children[int(child.tokens[common])] = child
                 child.tokens = child.tokens[common:]
                 node.children[int(upper.tokens[0])] = upper
                 child = upper
             node, at = child, at + common
 
-    def _settled(self, node: _Node, root: int) -> bool:
-        """Whether all sets below are in one component with root."""
-        if node.any < 0 or self.find(node.any) != root:
-            return False
-        if node.mixed and all(self.find(x) == root for x in node.own) and all(not c.mixed and self.find(c.any) == root for c in node.children.values()):
-            node.mixed = False
-        return not node.mixed
-
-    def probe(self, grams: np.ndarray, member: int) -> list[int]:
-        """Unions member with the sets that are similar to grams; those newly connected are returned."""
-        p, n, linked = self.percent, len(grams), []
-        low, high = -(-n * p // 100), n * 100 // p
-        stack = [(self.root, 0, 0, 0)]
+    def join(self, held: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, rows) of the similar ones. All rows go down the trie together: the overlaps so far are one
+        vector per node, shared by all sets below. A row leaves a subtree when the tokens that remain there
+        cannot make up what it lacks, or when its size fits none of the sets below.
+
+        held: 0/1 rows over columns, the last column (of tokens that no row shares) being 0."""
+        low, high = -(-sizes * percent // 100), sizes * 100 // percent
+        stack = [(self.root, np.arange(len(sizes)), np.zeros(len(sizes), np.int64), 0)]
         while stack:
-            node, at, overlap, depth = stack.pop()
-            if node.most < low or node.least > high or self._settled(node, self.find(member)):
-                continue
-            if len(node.tokens):
-                place = np.searchsorted(grams, node.tokens)
-                overlap += int((grams[np.minimum(place, n - 1)] == node.tokens).sum())
-                depth += len(node.tokens)
-                at = int(np.searchsorted(grams, node.tokens[-1], side="right"))
-            need = -(-p * (n + max(low, node.least)) // (100 + p))
-            if overlap + min(n - at, min(node.most, high) - depth) < need:
+            node, rows, overlap, depth = stack.pop()
+            for at in range(0, max(1, len(node.tokens)), STEP):
+                part = node.tokens[at : at + STEP]
+                if len(part):
+                    overlap = overlap + held[rows[:, None], part].sum(axis=1)
+                    depth += len(part)
+                reach = np.minimum(high[rows], node.most)
+                stays = (reach >= np.maximum(low[rows], node.least)) & ((100 + percent) * (overlap + reach - depth) >= percent * (sizes[rows] + reach))
+                if not stays.all():
+                    rows, overlap = rows[stays], overlap[stays]
+                if not len(rows):
+                    break
+            if not len(rows):
                 continue
-            if node.own and low <= depth <= high and (100 + p) * overlap >= p * (n + depth):
-                for other in node.own:
-                    if self.find(other) != self.find(member):
-                        self.union(other, member)
-                        linked.append(other)
-            stack += [(c, at, overlap, depth) for c in node.children.values()]
-        return linked
+            if node.own:
+                hit = (low[rows] <= depth) & (depth <= high[rows]) & ((100 + percent) * overlap >= percent * (sizes[rows] + depth))
+                if hit.any():
+                    for member in node.own:
+                        yield member, rows[hit]
+            stack += [(c, rows, overlap, depth) for c in node.children.values()]
+
+
+#: Tokens of an edge that are compared at once, and bytes of the rows that go down the trie together.
+STEP, HELD_BYTES = 16, 32 << 20
 
 
 def link_sets(members: list[tuple[int, np.ndarray, int]], percent: int, probes: list[tuple[int, np.ndarray, int]] | None = None) -> list[tuple[int, int]]:
     """Links (id, id) that connect similar sets. Each member is (id, set, label so far); equal labels are connected.
-    With probes, links are sought between probes and members only."""
-    trie, links = Trie(percent), []
-    labels: dict[int, int] = {}
-    order = sorted(members, key=lambda m: (len(m[1]), m[0]))
-    rows = [*order, *(probes or [])]
-    for at, (_, _, label) in enumerate(rows):
-        trie.parent.append(at)
-        trie.union(at, labels.setdefault(label, at))
-    for at, (own, grams, _) in enumerate(rows):
-        inserted = at < len(order)
-        if len(grams) and (probes is None or not inserted):
-            links += [(rows[x][0], own) for x in trie.probe(grams, at)]
-        if inserted and len(grams):
-            trie.insert(grams, at)
+    With probes, links are sought between probes and members only. Only links that connect something are listed."""
+    indexed = sorted((m for m in members if len(m[1])), key=lambda m: (len(m[1]), m[0]))
+    asked = [m for m in probes if len(m[1])] if probes is not None else indexed
+    if not indexed or not asked:
+        return []
+    sets = [m[1] for m in (indexed if probes is None else [*indexed, *asked])]
+    grams, place, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(many > 1, np.cumsum(many > 1) - 1, -1)[place]
+    width = int((many > 1).sum())
+    cuts = np.cumsum([0, *map(len, sets)])
+    # Places keep the global order; tokens of one set alone have no column and only count as missing.
+    rank = np.where(column < 0, width + place, column)
+    trie = Trie()
+    for at in range(len(indexed)):
+        own = np.sort(rank[cuts[at] : cuts[at + 1]])
+        trie.insert(own, at)
+    _clip(trie.root, width)
+    ids = [m[0] for m in indexed] + ([] if probes is None else [m[0] for m in asked])
+    known: dict[int, int] = {}
+    labels = np.array([known.setdefault(m[2], k) for k, m in enumerate(indexed if probes is None else [*indexed, *asked])])
+    first = 0 if probes is None else len(indexed)
+    links = []
+    step = max(16, HELD_BYTES // (width + 1))
+    for begin in range(first, len(sets), step):
+        end = min(len(sets), begin + step)
+        held = np.zeros((end - begin, width + 1), np.uint8)
+        for at in range(begin, end):
+            own = column[cuts[at] : cuts[at + 1]]
+            held[at - begin, own[own >= 0]] = 1
+        for member, rows in trie.join(held, np.array([len(x) for x in sets[begin:end]], np.int64), percent):
+            found = rows + begin
+            fresh = found[labels[found] != labels[member]]
+            while len(fresh):
+                links.append((ids[member], ids[fresh[0]]))
+                labels[labels == labels[fresh[0]]] = labels[member]
+                fresh = fresh[labels[fresh] != labels[member]]
     return links
 
 
+def _clip(node: _Node, width: int) -> None:
+    """Tokens without a column share the last, empty one."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        node.tokens = np.minimum(node.tokens, width)
+        stack += node.children.values()
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Runs of equal keys of sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -321,7 +379,7 @@ def _links_within(sets: DataFrame, keys: tuple[str, ...], n: int, percent: int)
 def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     spark = docs.sparkSession
-    n = 4 * partitions_for(spark, 8)
+    n = partitions_for(spark, 8)
     flow = stored(candidate_edges(candidate_rows(docs, words, percent), n), "ngram-flow")
     nodes = stored(components(flow.where(F.col("kind") == EDGE).select("a", "b")), "ngram-candidates")
     sizes = flow.where((F.col("kind") == DOCUMENT) & F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.max("b").alias("size"))
@@ -358,8 +416,6 @@ def _join_blocks(sets: DataFrame, links: DataFrame, n: int, percent: int) -> Dat
     """Links across the blocks of large components."""
     labelled = stored(_labelled(sets, links), "ngram-labelled")
     clusters = labelled.groupBy("component", "label").agg(F.count("*").alias("held")).where("held > 1")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("held"), "label"))
     firsts = clusters.withColumn("place", place).where(F.col("place") <= FIRST_SETS).select("component", F.col("label").alias("doc_id"))
     heads = labelled.join(firsts, ["component", "doc_id"], "left_semi").withColumns({"probe": F.lit(False)})
