@@ -110,6 +110,25 @@ def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order[first], edges[:, 0], edges[:, 1]
 
 
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Star edges (least id, id) with the same components as some edges: no more than there are ids."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for a, b in edges.tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return np.array([(r, x) for x in parent if (r := find(x)) != x], np.int64).reshape(-1, 2)
+
+
 #: Kinds of rows that leave the first pass: bucket row (key, id), edge (a, b), document (id, size of its set).
 BUCKET, EDGE, DOCUMENT = 0, 1, 2
 _FLOW = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
@@ -179,7 +198,7 @@ def candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 kept, a, b = stars(key, own)
                 yield _flow(key[kept], BUCKET, own[kept], np.zeros(len(kept), np.int64))
                 edges.append(np.stack([a, b], axis=1))
-            edge = np.concatenate(edges)
+            edge = forest(np.concatenate(edges))
             if len(edge):
                 yield _flow(mix(edge[:, 0].astype(np.uint64) * np.uint64(31) + edge[:, 1].astype(np.uint64)), EDGE, edge[:, 0], edge[:, 1])
 
@@ -202,7 +221,7 @@ def candidate_edges(rows: DataFrame, n: int) -> DataFrame:
                 edges.append(np.unique(np.stack([a, b], axis=1)[kind == EDGE], axis=0))
         _, a, b = stars(np.concatenate(keys), np.concatenate(ids))
         edges.append(np.stack([a, b], axis=1))
-        edge = np.unique(np.concatenate(edges), axis=0)
+        edge = forest(np.concatenate(edges))
         if len(edge):
             yield _flow(np.zeros(len(edge), np.int64), EDGE, np.ascontiguousarray(edge[:, 0]), np.ascontiguousarray(edge[:, 1]))
 
@@ -380,7 +399,8 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     """(doc_id, n_shingles, component_id) of every row of docs."""
     spark = docs.sparkSession
     n = partitions_for(spark, 8)
-    flow = stored(candidate_edges(candidate_rows(docs, words, percent), n), "ngram-flow")
+    # A pair shares many parts and comes up in most slices of the keys, so fewer, larger slices repeat fewer edges.
+    flow = stored(candidate_edges(candidate_rows(docs, words, percent), max(1, n // 2)), "ngram-flow")
     nodes = stored(components(flow.where(F.col("kind") == EDGE).select("a", "b")), "ngram-candidates")
     sizes = flow.where((F.col("kind") == DOCUMENT) & F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.max("b").alias("size"))
     weights = nodes.join(sizes, "id").groupBy("component").agg(F.ceil(F.sum(F.col("size") + SET_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("blocks"))
