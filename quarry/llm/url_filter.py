@@ -7,8 +7,8 @@ parts and host words: a host label is split by a unigram Viterbi search whose
 word counts come from the visible words of all pages. Words that a rule names
 are no tokens: they would only repeat the rule beyond its reach.
 
-The two models are kept to the `VOCABULARY` most frequent words and tokens, the
-documented bound of what is broadcast; counts cover all rows.
+The two models are kept to the most frequent words and tokens, `VOCABULARY` each
+at most, the documented bound of what is broadcast; counts cover all rows.
 
 Defined results: a null url, or one without `://`, has an empty host and path,
 no rule and no tokens, so the class shares decide; without any labelled row, or
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, table
+from quarry.llm.common import most_frequent, stored, table
 
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -94,8 +94,8 @@ def word_counts(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
     """The most frequent visible words of all pages, with their counts over all pages."""
     visible = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word")).where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD))
-    rows = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
-    return {r["word"]: r["count"] for r in rows}
+    rows = most_frequent(words.groupBy("word").agg(F.count("*").alias("n")), "n", most).collect()
+    return {r["word"]: r["n"] for r in rows}
 
 
 def filter_urls(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -123,7 +123,7 @@ def filter_urls(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES,
     counted = labelled.select("fixed", F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count_if(F.col("fixed") == "block").alias("block"), F.count_if(F.col("fixed") == "allow").alias("allow")
     )
-    top = counted.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(vocabulary).collect()
+    top = most_frequent(counted.withColumn("n", F.col("block") + F.col("allow")), "n", vocabulary).collect()
     if len(classes) < 2:
         odds, prior, unknown = {}, (1.0 if "block" in classes else -1.0), 0.0
     else:
