@@ -253,6 +253,20 @@ def test_one_document_of_each_group_stays(spark):
     assert ngram_join.similar_documents(docs_of(spark, [])).count() == 0
 
 
+def test_pipeline_stage_takes_near_copies_by_five_words(spark):
+    import corpus_pipeline
+
+    gen = random.Random(12)
+    texts = corpus(4, 60)
+    for k in range(6):  # one changed word of 51 to 56: under 0.85 by four words, 0.8 or more by five
+        w = [f"n{k}x{i}" for i in range(51 + k)]
+        texts += [" ".join(w), " ".join(x if i != 25 else "changed" for i, x in enumerate(w))]
+    gen.shuffle(texts)
+    kept = lambda words, percent: {i for i, (_, c) in components_by_brute_force(texts, words, percent).items() if c == i}
+    out = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").collect()}
+    assert out == kept(5, 80) and out < kept(4, 85)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(200, 201), (200, 201), (300, 300)]
     out = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
