@@ -15,8 +15,11 @@ A window can only share a one-value band if it holds the shingle that is the
 template's least one, so texts without any such shingle are done at once.
 
 Templates are a bounded table (documented bound: `TEMPLATES_MOST` rows), which
-is sent to the tasks. Defined results: null and empty texts have no words and
-match nothing; a text or template shorter than a shingle is one shingle; a
+is sent to the tasks. A template shorter than a shingle is one shingle of its
+own length; texts are hashed at these lengths too, and every place of the
+shingle is a match.
+
+Defined results: null and empty texts have no words and match nothing; a
 template without words matches nothing; repeated rows are judged one by one;
 extra columns are ignored.
 """
@@ -59,6 +62,9 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced"),
 ]
 
+#: Notices shorter than a shingle.
+SHORT_TEMPLATES = [("Proprietary", "All rights reserved.")]
+
 
 def bands_needed(rows: int = ROWS, miss: float = MISS) -> int:
     """Bands for which a passage at the limit is missed with a chance below `miss`."""
@@ -70,16 +76,24 @@ BANDS = bands_needed()
 _SEEDS = np.random.RandomState(77).randint(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
 
 
-def shingle_sequence(text: bytes | None) -> tuple[int, np.ndarray]:
-    """(number of words, hashes of five consecutive words in text order)."""
-    words = word_hashes((text or b"").translate(_NORMAL))
-    size = min(WORDS, len(words))
-    if not size:
-        return 0, words
+def words_of(text: bytes | None) -> np.ndarray:
+    return word_hashes((text or b"").translate(_NORMAL))
+
+
+def shingles_of(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of `size` consecutive words in text order; shingles of different sizes differ."""
+    if not 0 < size <= len(words):
+        return words[:0]
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
         out = out * np.uint64(0x9FB21C651E98DF25) + words[k : len(words) - size + 1 + k]
-    return len(words), mix(out)
+    return mix(out)
+
+
+def shingle_sequence(text: bytes | None) -> tuple[int, np.ndarray]:
+    """(number of words, hashes of five consecutive words in text order; of all words where there are fewer)."""
+    words = words_of(text)
+    return len(words), shingles_of(words, min(WORDS, len(words)))
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -91,17 +105,22 @@ class Index:
     """Templates by length class and band."""
 
     def __init__(self, templates: list[tuple[str, bytes | None]]):
-        self.names, self.sets = [], []
+        self.names, self.sets, self.sizes = [], [], []
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.bands: dict[tuple[int, int, bytes], list[int]] = defaultdict(list)
         self.window: dict[int, int] = {}
         least: dict[int, set[int]] = defaultdict(set)
         for name, text in templates:
-            _, grams = shingle_sequence(text)
+            n, grams = shingle_sequence(text)
             if not len(grams):
                 continue
             at, kind = len(self.names), int(math.log(len(grams), RATIO))
             self.names.append(name)
             self.sets.append(np.unique(grams))
+            self.sizes.append(min(WORDS, n))
+            if n < WORDS:
+                self.short[n][int(grams[0])].append(at)
+                continue
             self.window[kind] = 2 * math.ceil(RATIO ** (kind + 1))
             values = signature(grams)
             for band in range(BANDS):
@@ -109,10 +128,16 @@ class Index:
                 self.bands[kind, band, part.tobytes()].append(at)
                 least[kind].update(grams[[int(mix(grams ^ _SEEDS[band * ROWS]).argmin())]].tolist())
         self.least = {k: np.array(sorted(v), np.uint64) for k, v in least.items()}
+        self.short_grams = {size: np.array(sorted(v), np.uint64) for size, v in self.short.items()}
 
-    def matches(self, grams: np.ndarray) -> list[tuple[int, int, int, float]]:
+    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first shingle, shingles, containment) of the verified windows; the best of each template and place."""
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for size, known in self.short_grams.items():
+            own = shingles_of(words, size)
+            for at in np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own).tolist():
+                found.update({(t, at): (1.0, at, 1) for t in self.short[size][int(own[at])]})
+        grams = shingles_of(words, WORDS)
         for kind, least in self.least.items():
             hits = np.flatnonzero(least[np.minimum(np.searchsorted(least, grams), len(least) - 1)] == grams)
             if not len(hits):
@@ -145,7 +170,7 @@ _SCHEMA = pa.schema(
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """Per document: its words, the licenses found, and where. templates(license, text) replaces the built-in ones."""
     if templates is None:
-        rows = [(n, t.encode()) for n, t in TEMPLATES]
+        rows = [(n, t.encode()) for n, t in TEMPLATES + SHORT_TEMPLATES]
     else:
         picked = templates.select(F.col("license").cast("string"), F.col("text").cast("binary")).limit(TEMPLATES_MOST + 1).collect()
         if len(picked) > TEMPLATES_MOST:
@@ -158,11 +183,11 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFr
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                n, grams = shingle_sequence(text)
-                found = index.matches(grams) if n else []
+                words = words_of(text)
+                found = index.matches(words)
                 out.append({
-                    "doc_id": doc_id, "n_words": n, "licenses": sorted({index.names[t] for t, *_ in found}),
-                    "matches": [{"license": index.names[t], "first_word": a, "n_words": k + min(WORDS, n) - 1, "containment": c} for t, a, k, c in found],
+                    "doc_id": doc_id, "n_words": len(words), "licenses": sorted({index.names[t] for t, *_ in found}),
+                    "matches": [{"license": index.names[t], "first_word": a, "n_words": k + index.sizes[t] - 1, "containment": c} for t, a, k, c in found],
                 })
             yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 

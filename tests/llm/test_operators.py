@@ -428,3 +428,18 @@ def test_license_scan_equals_exact_containment(spark):
     out = {r["doc_id"]: set(r["licenses"]) for r in L.scan_licenses(docs_of(spark, texts)).collect()}
     assert out == want
     assert 1 - (1 - 0.8 / (2 * L.RATIO + 0.2) ** L.ROWS) ** L.BANDS > 1 - 1e-5
+
+
+def test_short_notices_are_found_in_long_texts(spark):
+    from quarry.llm import license_scan as L
+
+    gen = random.Random(3)
+    make = lambda k: " ".join(f"w{gen.randrange(90)}" for _ in range(k))
+    texts = [f"{make(40)}\nAll rights reserved.\n{make(40)}", "all RIGHTS reserved", "All rights, reserved. " * 2, make(50) + " all rights", "rights reserved all", None, ""]
+    out = {r["doc_id"]: (r["n_words"], [(m["license"], m["first_word"], m["n_words"], m["containment"]) for m in r["matches"]]) for r in L.scan_licenses(docs_of(spark, texts)).collect()}
+    hit = lambda at: ("Proprietary", at, 3, 1.0)
+    assert out == {0: (83, [hit(40)]), 1: (3, [hit(0)]), 2: (6, [hit(0), hit(3)]), 3: (52, []), 4: (3, []), 5: (0, []), 6: (0, [])}
+
+    notices = spark.createDataFrame([("A", "one"), ("B", "one two"), ("C", "p q r s"), ("D", "a b c d e"), ("E", None), ("F", " ")], "license string, text string")
+    rows = L.scan_licenses(docs_of(spark, ["x one two y", "p q r s", "p q r", f"{make(30)} a b c d e {make(30)} p q r s t"]), notices).collect()
+    assert {r["doc_id"]: list(r["licenses"]) for r in rows} == {0: ["A", "B"], 1: ["C"], 2: [], 3: ["C", "D"]}
