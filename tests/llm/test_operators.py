@@ -318,6 +318,35 @@ def test_url_rules_and_verdicts(spark):
     assert (out["http://casinowin3.org/1"]["verdict"], out["http://garden5.org/2"]["verdict"]) == ("block", "allow")
 
 
+def test_verdicts_do_not_depend_on_what_is_broadcast(spark):
+    gen = random.Random(7)
+    words = ["".join(gen.choice("abcdefg") for _ in range(gen.randrange(1, 7))) for _ in range(60)]
+    pick = lambda: words[min(gen.randrange(60), gen.randrange(60))]
+    urls = [None, "nourl", "http://com/"]
+    urls += [f"http://{pick()}{pick()}-{pick()}{gen.randrange(9)}.{gen.choice(['example.com/en', 'a.com/x', 'net/es', 'b.org/y'])}/{pick()}/{pick()}_{i % 40}" for i in range(300)]
+    urls += [urls[9]] * 40
+    rows = [(i // 2, u, " ".join(f"<p>{pick()}</p>" for _ in range(9))) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+    # Plain computation over all words and all tokens.
+    counts = Counter(w for *_, html in rows for w in re.findall("[a-z]+", html.replace("<p>", " ").replace("</p>", " ")))
+    own, ruled = url_filter.Segmenter(dict(counts)), frozenset({"com", "example", "en", "www", "net", "es", "fr"})
+    found = {v: url_filter.filter_urls(pages, vocabulary=v).collect() for v in (50_000, 40, 0)}
+    block, allow, n_block, n_allow = Counter(), Counter(), 0, 0
+    for r in found[0]:
+        assert r["tokens"] == url_filter.tokens_of(r["host"], r["path"], own, ruled)
+        if r["rule"]:
+            n_block, n_allow = n_block + (r["verdict"] == "block"), n_allow + (r["verdict"] == "allow")
+            (block if r["verdict"] == "block" else allow).update(r["tokens"])
+    size = len(block | allow) + 1
+    odds = lambda t: np.log((block[t] + 1) / (block.total() + size)) - np.log((allow[t] + 1) / (allow.total() + size))
+    key = lambda r: (r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["tokens"], round(r["log_odds"], 9))
+    want = sorted(map(key, found[50_000]), key=repr)
+    assert len(want) == len(urls) and all(sorted(map(key, v), key=repr) == want for v in found.values())
+    for r in found[40]:
+        assert r["log_odds"] == pytest.approx(np.log(n_block / n_allow) + sum(map(odds, r["tokens"])))
+
+
 def test_segmentation_is_the_best_split():
     counts = {"the": 50, "rapist": 3, "therapist": 9, "finder": 20, "a": 40}
     own = url_filter.Segmenter(counts)
