@@ -5,7 +5,10 @@ length and punctuation are summed per path and divided by the number of blocks
 of the path; both ratios are smoothed over the page order, fused by their
 product, and paths whose blocks score above a threshold are content. The
 container that holds most of the content's text then gives all its blocks, so
-that headings and short paragraphs of the article stay. Elements that never
+that headings and short paragraphs of the article stay. Content outside it
+stays too: the smallest element that holds all content gives all its blocks,
+or, where that is the page itself, each further branch of the page with
+content, and the page's own text beside its content. Elements that never
 hold the article (scripts, menus, forms, notices, comments and so on, by tag,
 role, class or id) are left out before scoring.
 
@@ -58,6 +61,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: Smoothing over neighbours, and the share of the page's mean that a path must reach.
 SMOOTH = np.array([1.0, 2.0, 4.0, 2.0, 1.0]) / 10
 THRESHOLD = 0.35
+#: Elements that are the page itself, and those that are too small to be containers.
+_PAGE = frozenset(["", "html", "body"])
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote td tr".split())
+#: Text, tags and ids of the open elements.
+_Block = tuple[str, tuple[str, ...], tuple[int, ...]]
 
 
 class _Blocks(HTMLParser):
@@ -145,6 +153,36 @@ def content_scores(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]]) -
     return smooth[0] * smooth[1]
 
 
+def _outside(content: list[_Block], container: int) -> tuple[set[int], set[int]]:
+    """Elements that give all their blocks, and those that give their own text only, for content that the container lacks."""
+    depth, others = _shared(content), [b for b in content if container not in b[2]]
+    if content[0][1][depth - 1] not in _PAGE:
+        groups = {0: content}
+    else:
+        groups = {}
+        for b in others:
+            groups.setdefault(next((i for t, i in zip(b[1], b[2], strict=True) if t not in _PAGE), b[2][-1]), []).append(b)
+    whole, own = set(), set()
+    for group in groups.values() if others else ():
+        tags, ids = group[0][1][: _shared(group)], group[0][2]
+        named = [i for i, t in enumerate(tags) if t in ("article", "main")]
+        at = max(named or [i for i, t in enumerate(tags) if t not in _LEAVES])
+        (own if tags[at] in _PAGE else whole).add(ids[at])
+        if any(t not in _PAGE for t in tags):
+            whole.add(ids[len(tags) - 1])
+    return whole, own
+
+
+def _holder(block: _Block) -> int:
+    """The innermost element of a block that can be a container."""
+    return next(i for t, i in zip(reversed(block[1]), reversed(block[2]), strict=True) if t not in _LEAVES)
+
+
+def _shared(content: list[_Block]) -> int:
+    """Number of elements, from the root on, that hold all the blocks."""
+    return sum(len(set(x)) == 1 for x in zip(*(b[2] for b in content), strict=False))
+
+
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order, joined by one space."""
     blocks = blocks_of(html) if html else []
@@ -162,8 +200,10 @@ def main_text(html: str | None) -> str:
     names = {e: t for b in blocks for t, e in zip(b[1], b[2], strict=True)}
     wide = [e for e, w in held.items() if w >= 0.5 * total]
     named = [e for e in wide if names[e] in ("article", "main")]
-    container = max(named or [e for e in wide if names[e] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "td", "tr")])
-    return " ".join(b[0] for b in blocks if container in b[2])
+    container = max(named or [e for e in wide if names[e] not in _LEAVES])
+    whole, own = _outside([blocks[at] for at in np.flatnonzero(content)], container)
+    whole.add(container)
+    return " ".join(b[0] for b in blocks if not whole.isdisjoint(b[2]) or _holder(b) in own)
 
 
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

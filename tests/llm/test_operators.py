@@ -370,6 +370,45 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+_LONG, _REST = "The first part, which is long. " * 6, "The second part, also told. " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div id=post><h1>Head</h1><div><p>{}</p></div><div><p>{}</p></div></div>", "Head {} {}"),
+        ("<body><nav>Menu</nav><main><article><p>{}</p></article><article><p>{}</p></article></main><footer>f</footer></body>", "{} {}"),
+        ("<body><main><article><h1>Head</h1><p>{}</p></article><div><p>{}</p></div></main></body>", "Head {} {}"),
+        ("<body><article><h1>Head</h1><p>{}</p></article><div><h2>Two</h2><p>{}</p></div></body>", "Head {} Two {}"),
+        ("<body><article><p>{}</p></article><p>{}</p><ul><li><p>" + _REST + "</p></li></ul></body>", "{} {} " + _REST.strip()),
+    ],
+)
+def test_content_outside_the_largest_container_stays(html, text):
+    assert html_text.main_text(html.format(_LONG, _REST)) == text.format(_LONG.strip(), _REST.strip())
+
+
+def test_no_content_block_is_lost():
+    gen = random.Random(5)
+
+    def some(deep):
+        if deep == 0 or gen.random() < 0.3:
+            return gen.choice(["", "Bare text, here. ", "<p>{}</p>", "<h2>Head</h2>"]).format("Some words, and more. " * gen.randrange(1, 12))
+        tag = gen.choice("div div section article main ul li table tr td blockquote p body html".split())
+        return f"<{tag}>" + "".join(some(deep - 1) for _ in range(gen.randrange(1, 4))) + (f"</{tag}>" if gen.random() < 0.9 else "")
+
+    for _ in range(1500):
+        html = "".join(some(4) for _ in range(3))
+        blocks = html_text.blocks_of(html)
+        if blocks:
+            scores, weights = np.sqrt(html_text.content_scores(blocks)), [len(b[0]) for b in blocks]
+            text, at = html_text.main_text(html), 0
+            for b, s in zip(blocks, scores, strict=True):
+                if s >= html_text.THRESHOLD * np.average(scores, weights=weights):
+                    at = text.find(b[0], at)
+                    assert at >= 0, html
+                    at += len(b[0])
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", "<p>a, b.</p>"), (1, "u", "<p>a, b.</p>"), (2, None, None)]
     out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
