@@ -87,6 +87,21 @@ def _(s, d):
     return files.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), F.length(F.replace("text", F.lit("\u0000"), F.lit(""))).cast("long").alias("n"))
 
 
+@query("s1_read_whole_corpus", f"SELECT regexp_extract(file, '([^/]+)$', 1) AS name, CAST(length(text) AS BIGINT) AS n FROM ({SOURCES}) WHERE file NOT LIKE '%/web/%'")
+def _(s, d):
+    # All source rows, many to a file of bounded length: name, U+0001, text and U+0000 each.
+    folder = _folder(s)
+    rows = derive(s, d, SOURCES).select(
+        F.when(F.contains("file", F.lit("/web/")), "web").otherwise("app").alias("area"), F.regexp_extract("file", r"^src/([^/]+)/", 1).alias("brand"),
+        F.concat(F.regexp_extract("file", r"([^/]+)$", 1), F.lit("\u0001"), "text").alias("value"),
+    )
+    rows.repartition("value").write.option("lineSep", "\u0000").option("maxRecordsPerFile", 10_000).partitionBy("area", "brand").text(f"{folder}/files")
+    files = corpus.read_corpus(s, f"{folder}/files", [".txt"], skip_path_regex=r"area=web/")
+    records = files.select(F.explode(F.split("text", "\u0000")).alias("record")).where(F.length("record") > 0)
+    parts = F.split("record", "\u0001", 2)
+    return records.select(parts[0].alias("name"), F.length(parts[1]).cast("long").alias("n"))
+
+
 @query("s12_append_delta", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def _(s, d):
     folder = _folder(s)

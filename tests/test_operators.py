@@ -100,3 +100,12 @@ def test_merge_and_reach(spark):
     assert out == {"x": (None, True, ["p"]), "y": ("old", True, ["q"]), "z": ("n", False, ["r"])}
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "src string, dst string")
     assert {r.id: r.depth for r in reachable(edges, spark.createDataFrame([("a",)], "id string"), 3).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_the_whole_corpus_is_read(spark):
+    from quarry.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    parts = {f"Part{r[0]}Service.java" for r in spark.read.parquet(f"{sf}/part.parquet").where("p_size % 3 = 0").select("p_partkey").collect()}
+    names = [r["name"] for r in QUERIES["s1_read_whole_corpus"](spark, sf).collect()]
+    assert len(names) == len(parts) and set(names) == parts and any(int(n[4:].split("S")[0]) >= 60 for n in names)
