@@ -442,10 +442,28 @@ def test_bpe_equals_the_library(spark):
 def test_cuts_are_safe():
     own = bpe.loaded(bpe.default_vocabulary())
     for token in list(own.ids)[::97]:
-        body = token.removesuffix("</w>")
+        body = bytes(map(own.bytes.__getitem__, token.removesuffix("</w>")))
         assert own.cut(body) == [body]
 
 
+def test_bpe_of_long_words_and_odd_tables(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_vocabulary()), bpe.loaded(bpe.default_vocabulary())
+    gen = random.Random(2)
+    texts = ["".join(gen.choice("aeinrst") for _ in range(k)) for k in (63, 64, 65, 66, 500, 9000)] + ["Za" * 20_000 + " é", "a" * 50_000]
+    for t in texts:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    rows = [(1, "One two", "x"), (1, "One two", "x"), (None, None, None), (2, "<|endoftext|>", "y")]
+    out = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["decoded"], r["lang"]) for r in out) == [(0, 0, "", None), (1, 2, "one</w> two</w>", None), (1, 2, "one</w> two</w>", None), (2, 1, "<|endoftext|>", None)]
+    assert bpe.encode_digests(docs_of(spark, [])).count() == 0
+    counts, ids = own.of_texts(texts)
+    whole = own.digests(own.names, counts, ids)
+    monkeypatch.setattr(bpe, "PIECE_IDS", 1000)
+    assert own.digests(own.names, counts, ids) == whole
+
+
 # Operator 10
 
 
