@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of the six characters that end a word in the plain word definition.
 SPACE_BYTES = b" \t\n\r\x0b\x0c"
+#: Rows of a few numbers that a task handles at ease.
+ROWS_PER_TASK = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks that write a table of so many short rows: a table of few rows is not dealt over all shuffle partitions."""
+    return max(16, rows // ROWS_PER_TASK + 1)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
@@ -40,6 +47,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
     """The largest whole classes of counts that hold at most `most` rows. Classes are a sixteenth of a doubling
     wide, so a few hundred rows tell where to cut, and no task sends its own best rows to the driver."""

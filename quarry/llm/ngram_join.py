@@ -39,10 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, most_frequent, partitions_for, slices, stored, table
+from quarry.llm.common import as_bytes, most_frequent, partitions_for, slices, stored, table, tasks_for, unused
 from quarry.llm.components import components
 from quarry.llm.hashing import mix, shingles, word_hashes
 
@@ -92,10 +93,10 @@ class Parts:
             own = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
             sums = np.add.reduceat(mix(grams + np.uint64(0x51ED270B)), firsts) if len(own) else np.empty(0, np.uint64)
-            out.append(mix(sums + own[firsts] * np.uint64(0xA24BAED4963EE407) + np.uint64(j + 1) * np.uint64(0x9FB21C651E98DF25)))
+            out.append(mix(sums + own[firsts] * np.uint64(0xA24BAED4963EE407) + np.uint64((j + 1) * 0x9FB21C651E98DF25 % (1 << 64))))
             if parts - len(firsts) > slack:
                 prefix = n - -(-n * self.percent // 100) + 1
-                out.append(mix(whole[:prefix] + np.uint64(j + 1) * np.uint64(0xD1B54A32D192ED03)))
+                out.append(mix(whole[:prefix] + np.uint64((j + 1) * 0xD1B54A32D192ED03 % (1 << 64))))
         return np.unique(np.concatenate(out))
 
 
@@ -373,26 +374,46 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_CLUSTERS = pa.schema([("component", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("label", pa.int64()), ("grams", pa.binary())])
+_CLUSTERS_DDL = "component long, blocks int, block int, doc_id long, label long, grams binary"
 
 
-def _links_within(sets: DataFrame, keys: tuple[str, ...], n: int, percent: int) -> DataFrame:
-    """Links inside each group of sets(keys..., doc_id, grams, label, probe)."""
+def _sets_of(group: pa.Table) -> list[tuple[int, np.ndarray, int]]:
+    return [(i, np.frombuffer(g, np.uint64), label) for i, g, label in zip(*(group.column(c).to_pylist() for c in ("doc_id", "grams", "label")), strict=True)]
+
+
+def _clusters_within(sets: DataFrame, keys: tuple[str, ...], n: int, percent: int) -> DataFrame:
+    """The sets with the least label of their cluster within their group. Groups share no documents, so what a task
+    finds is final; the sets of components of one block, which are settled, are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
-            rows = [
-                (i, np.frombuffer(g, np.uint64), label, probe)
-                for i, g, label, probe in zip(*(group.column(c).to_pylist() for c in ("doc_id", "grams", "label", "probe")), strict=True)
-            ]
-            members = [r[:3] for r in rows if not r[3]]
-            probes = [r[:3] for r in rows if r[3]]
-            found = link_sets(members, percent, probes or None)
+            rows = _sets_of(group)
+            own = {i: label for i, _, label in rows}
+            star = forest(np.array([(own[a], own[b]) for a, b in link_sets(rows, percent)], np.int64).reshape(-1, 2))
+            roots = dict(zip(star[:, 1].tolist(), star[:, 0].tolist(), strict=True))
+            labels = pa.array([roots.get(label, label) for _, _, label in rows], pa.int64())
+            kept = [group.column(c) for c in ("component", "blocks", "block", "doc_id")]
+            grams = group.column("grams") if group.column("blocks")[0].as_py() > 1 else pa.array([None] * len(rows), pa.binary())
+            yield from pa.Table.from_arrays([*kept, labels, grams], schema=_CLUSTERS).to_batches()
+
+    return sets.select(*_CLUSTERS.names).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, _CLUSTERS_DDL)
+
+
+def _links_across(sets: DataFrame, keys: tuple[str, ...], n: int, percent: int) -> DataFrame:
+    """Links (a, b) between the labels of probes and of other sets in each group of sets(keys..., doc_id, grams, label, probe)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            asked = group.column("probe")
+            members, probes = _sets_of(group.filter(pc.invert(asked))), _sets_of(group.filter(asked))
+            own = {i: label for i, _, label in [*members, *probes]}
+            found = link_sets(members, percent, probes)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_LINKS)
+                yield pa.RecordBatch.from_arrays([pa.array([own[x[k]] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    picked = sets.select(*keys, "doc_id", "grams", "label", "probe")
-    return picked.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return sets.select(*keys, "doc_id", "grams", "label", "probe").repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -411,52 +432,53 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             grams = [ngram_set(t, words).tobytes() for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "blocks", "block", "doc_id")), pa.array(grams, pa.binary())], names=["component", "blocks", "block", "doc_id", "grams"])
+            known = [batch.column(c) for c in ("component", "blocks", "block", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*known, known[3], pa.array(grams, pa.binary())], schema=_CLUSTERS)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("m_id")).select("component", "blocks", "block", "doc_id", "text")
-    sets = stored(found.mapInArrow(to_sets, "component long, blocks int, block int, doc_id long, grams binary"), "ngram-sets")
-    plain = sets.withColumns({"label": F.col("doc_id"), "probe": F.lit(False)})
-    links = stored(_links_within(plain, ("component", "block"), n, percent), "ngram-links")
-
-    large = sets.where("blocks > 1")
-    if not large.isEmpty():
-        links = _join_blocks(large, links, n, percent)
-    labels = components(links)
+    clusters = stored(_clusters_within(found.mapInArrow(to_sets, _CLUSTERS_DDL), ("component", "block"), n, percent), "ngram-clusters")
+    labels = clusters.where("label <> doc_id").select(F.col("doc_id").alias("l_id"), "label").distinct()
     rows = flow.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    return rows.join(labels, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links).select(F.col("id").alias("l_id"), F.col("component").alias("l_component"))
-    return sets.join(labels, F.col("doc_id") == F.col("l_id"), "left").withColumn("label", F.coalesce("l_component", "doc_id")).drop("l_id", "l_component")
-
-
-def _join_blocks(sets: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links across the blocks of large components."""
-    labelled = stored(_labelled(sets, links), "ngram-labelled")
-    clusters = labelled.groupBy("component", "label").agg(F.count("*").alias("held")).where("held > 1")
-    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("held"), "label"))
-    firsts = clusters.withColumn("place", place).where(F.col("place") <= FIRST_SETS).select("component", F.col("label").alias("doc_id"))
-    heads = labelled.join(firsts, ["component", "doc_id"], "left_semi").withColumns({"probe": F.lit(False)})
-    links = stored(links.union(_links_within(heads, ("component",), n, percent)), "ngram-links")
-
-    labelled = stored(_labelled(sets, links), "ngram-labelled")
-    main = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    outside = labelled.join(main, "component").where("label <> main").drop("main")
-    chunks = outside.groupBy("component").agg(F.ceil(F.sum(F.length("grams") / 8 + SET_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("chunks"))
-    probes = outside.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("chunks")).cast("int"))
+    rows = rows.join(labels, F.col("doc_id") == F.col("l_id"), "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
+    large = clusters.where("blocks > 1")
+    if large.isEmpty():
+        return rows.withColumnRenamed("label", "component_id")
+    joined = components(_links_between_blocks(large, n, percent))
+    return rows.join(joined, F.col("label") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "label").alias("component_id"))
+
+
+def _links_between_blocks(sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between labels of clusters in different blocks of large components."""
+    size = F.length("grams") / 8 + SET_WEIGHT
+    # The first sets of the largest clusters, which stand for them, are compared with each other.
+    clusters = sets.groupBy("component", "label").agg(F.count("*").alias("held"), F.max(F.when(F.col("doc_id") == F.col("label"), size)).alias("size")).where("held > 1")
+    by_held = Window.partitionBy("component").orderBy(F.desc("held"), "label")
+    firsts = clusters.withColumn("place", F.row_number().over(by_held)).where(F.col("place") <= FIRST_SETS)
+    firsts = firsts.withColumn("weight", F.sum("size").over(by_held)).where(F.col("weight") <= 4 * BLOCK_WEIGHT).select("component", F.col("label").alias("doc_id"))
+    heads = _clusters_within(sets.join(firsts, ["component", "doc_id"], "left_semi"), ("component",), n, percent)
+    merged = stored(heads.where("label <> doc_id").select(F.col("doc_id").alias("head"), F.col("label").alias("to")).distinct().coalesce(tasks_for(0)), "ngram-heads")
+
+    labelled = sets.join(merged, F.col("label") == F.col("head"), "left").withColumn("label", F.coalesce("to", "label")).drop("head", "to")
+    # Whatever is outside the main cluster still probes every block.
+    counts = labelled.groupBy("component", "label").agg(F.count("*").alias("count"), F.sum(size).alias("weight"))
+    largest = F.struct("count", "label")
+    main = counts.groupBy("component").agg(F.max_by("label", largest).alias("main"), F.ceil((F.sum("weight") - F.max_by("weight", largest)) / BLOCK_WEIGHT).cast("int").alias("chunks"))
+    main = stored(main.where("chunks > 0").coalesce(tasks_for(0)), "ngram-main")
+    known = labelled.join(main, "component")
+    probes = known.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("chunks")).cast("int"))
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-    indexed = labelled.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(False))
+    indexed = known.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(False))
     columns = ["component", "block", "chunk", "doc_id", "grams", "label", "probe"]
-    across = _links_within(indexed.select(columns).union(probes.select(columns)), ("component", "block", "chunk"), n, percent)
-    return stored(links.union(across), "ngram-links")
+    across = _links_across(indexed.select(columns).union(probes.select(columns)), ("component", "block", "chunk"), n, percent)
+    return stored(across.union(merged.toDF("a", "b")), "ngram-links")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """One document of each group of similar ones, the one of the least doc_id, with all columns."""
-    dropped = similar_documents(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    name = unused(docs, "dropped_id")
+    dropped = similar_documents(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped[name], "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
