@@ -6,9 +6,11 @@ lower-cased, words are runs of ASCII letters, digits and non-ASCII characters),
 scanned once, and every match is mapped back to word positions and to byte
 offsets of the original text.
 
-The benchmark is sent to the tasks in blocks of at most `block_bytes` bytes of
-item text, a documented bound; a larger benchmark is scanned block by block,
-each document staying in its task, with no shuffle of texts.
+A benchmark of up to `block_bytes` bytes of item text is sent to the tasks
+whole, and the texts are read once. A larger one is dealt by item into blocks of
+about that size, one of which is at the driver and in the tasks at a time: each
+is scanned on its own, and only hits are brought together by row. An item is cut
+nowhere, so the longest item adds to the bound.
 
 Defined results: a null or empty text has no words and is clean; an item without
 words matches nothing; an item shorter than a window is one window; repeated
@@ -19,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, table
+from quarry.llm.common import as_bytes, stored, table, unused
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -106,74 +109,109 @@ _SCHEMA = pa.schema(
 HIT_DDL = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start:long,end:long>>, contaminated boolean"
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
-    """Items in blocks of bounded size; an item is cut nowhere, so one huge item is a block of its own."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("binary"))
-    blocks: list[list[tuple[str, bytes | None]]] = [[]]
-    size = 0
-    for item, text in rows.toLocalIterator():
-        size += len(text or b"")
-        if size > block_bytes and blocks[-1]:
-            blocks.append([])
-            size = len(text or b"")
-        blocks[-1].append((item, bytes(text) if text is not None else None))
-    return blocks
+Items = list[tuple[str, bytes | None]]
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
+    """Items in blocks of about `block_bytes` bytes of text, one at a time."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("body"))
+    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    n = -(-size // block_bytes)
+    if n > 1:
+        items = stored(items.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(n))), "benchmark-items")
+    for k in range(max(1, n)):
+        own = items.where(F.col("block") == k) if n > 1 else items
+        yield [(r["item"], bytes(r["body"]) if r["body"] is not None else None) for r in own.collect()]
+
+
+def _verdict(doc_id: int | None, text: bytes | None, n_words: int, ranges: np.ndarray, items: set[str]) -> dict:
+    found = sorted(items)
+    n_hit = int((ranges[:, 1] - ranges[:, 0]).sum())
+    return {
+        "doc_id": doc_id, "n_words": n_words, "n_hit": n_hit, "n_items": len(found), "items": found,
+        "items_sha256": hashlib.sha256(",".join(found).encode()).hexdigest(),
+        "spans": byte_spans(text, ranges) if n_hit else [], "contaminated": n_hit > 0,
+    }
+
+
+_HITS = pa.schema([("row", pa.int64()), ("ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+
+def _block_hits(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(row, ranges, items) of the hit rows(row, text) by block; each block has its own pass over the texts."""
+
+    def scanned(items: Items) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            automaton = build_automaton(own, window)
+            for batch in batches:
+                found = [(row, *scan(words_of(t), automaton)) for row, t in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text")), strict=True)]
+                hits = [{"row": row, "ranges": ranges.reshape(-1).tolist(), "items": [own[x][0] for x in items]} for row, ranges, items in found if items]
+                yield pa.RecordBatch.from_pylist(hits, schema=_HITS)
+
+        out = stored(rows.mapInArrow(run, "row long, ranges array<long>, items array<string>"), "benchmark-hits")
+        sent.destroy()
+        return out
+
+    return reduce(DataFrame.union, map(scanned, _blocks(benchmark, block_bytes)))
+
+
+def _fits(benchmark: DataFrame, block_bytes: int) -> bool:
+    return (benchmark.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0) <= block_bytes
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its words, the hit words, the items found, and the spans in bytes of the original text."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)]
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [b.value for b in blocks]
-        automata = [build_automaton(items, window) for items in sets] if len(sets) == 1 else None
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if _fits(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, block_bytes)))
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = sent.value
+            automaton = build_automaton(items, window)
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                    words = words_of(text)
+                    ranges, found = scan(words, automaton)
+                    rows.append(_verdict(doc_id, text, len(words), ranges, {items[x][0] for x in found}))
+                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+        return docs.mapInArrow(judge, HIT_DDL)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
-            words = [words_of(t) for t in texts]
-            hits: list[list[np.ndarray]] = [[] for _ in ids]
-            names: list[set[str]] = [set() for _ in ids]
-            for k, items in enumerate(sets):
-                automaton = automata[k] if automata else build_automaton(items, window)
-                for at, own in enumerate(words):
-                    ranges, found = scan(own, automaton)
-                    if found:
-                        hits[at].append(ranges)
-                        names[at].update(items[x][0] for x in found)
             rows = []
-            for at, doc_id in enumerate(ids):
-                ranges = np.concatenate(hits[at]) if hits[at] else np.empty((0, 2), np.int64)
-                ranges = merge_ranges(ranges[:, 0], ranges[:, 1]) if len(ranges) else ranges
-                found = sorted(names[at])
-                n_hit = int((ranges[:, 1] - ranges[:, 0]).sum())
-                rows.append({
-                    "doc_id": doc_id, "n_words": len(words[at]), "n_hit": n_hit, "n_items": len(found), "items": found,
-                    "items_sha256": hashlib.sha256(",".join(found).encode()).hexdigest(),
-                    "spans": byte_spans(texts[at], ranges) if n_hit else [], "contaminated": n_hit > 0,
-                })
+            for doc_id, text, ranges, items in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("ranges", "items")), strict=True):
+                flat = np.array(ranges or [], np.int64).reshape(-1, 2)
+                rows.append(_verdict(doc_id, text, len(words_of(text)), merge_ranges(flat[:, 0], flat[:, 1]) if len(flat) else flat, set(items or [])))
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judge, HIT_DDL)
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "benchmark-rows")
+    hits = _block_hits(rows.select("row", "text"), benchmark, window, block_bytes)
+    hits = hits.groupBy(F.col("row").alias("hit_row")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+    return rows.join(hits, F.col("row") == F.col("hit_row"), "left").select("doc_id", "text", "ranges", "items").mapInArrow(merge, HIT_DDL)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents in which no benchmark window occurs, with all their columns."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, BLOCK_BYTES)]
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [b.value for b in blocks]
-        automata = [build_automaton(items, window) for items in sets] if len(sets) == 1 else None
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            mask = np.ones(len(texts), bool)
-            for k, items in enumerate(sets):
-                automaton = automata[k] if automata else build_automaton(items, window)
-                for at, text in enumerate(texts):
-                    mask[at] = mask[at] and not scan(words_of(text), automaton)[1]
-            yield batch.filter(pa.array(mask))
-
-    return docs.mapInArrow(keep, docs.schema)
+    if _fits(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, block_bytes)))
+        at = docs.columns.index("text")
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = build_automaton(sent.value, window)
+            for batch in batches:
+                texts = batch.column(at).cast(pa.string())
+                yield batch.filter(pa.array([not scan(words_of(t), automaton)[1] for t in as_bytes(texts)], pa.bool_()))
+
+        return docs.mapInArrow(keep, docs.schema)
+    name = unused(docs, "row")
+    rows = stored(docs.withColumn(name, F.monotonically_increasing_id()), "benchmark-rows")
+    hits = _block_hits(rows.select(F.col(name).alias("row"), F.col("text").cast("string").alias("text")), benchmark, window, block_bytes)
+    return rows.join(hits.select(F.col("row").alias(name)).distinct(), name, "left_anti").select(*docs.columns)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_BYTES, as_bytes, stored, table
+from quarry.llm.common import SPACE_BYTES, as_bytes, stored, table, tasks_for, unused
 
 SYMBOLS = b"#*$%&|<>"
 DIM = 5
 #: Units of the fixed-point vectors, and their largest absolute value.
 SCALE, LARGEST = 4096, 1 << 15
-H_SHARE, STEPS, MIN_ROWS = 0.7, 5, 50
+H_SHARE, MIN_ROWS = 0.7, 50
 BINS, BINS_PER_DOUBLING = 1024, 16
 #: Least standard deviations: differences below these are never a reason to reject.
 FLOORS = np.array([0.06, 0.05, 0.06, 0.12, 0.16]) * SCALE
@@ -134,12 +134,15 @@ def _grouped(stats: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-_PARAMS = f"grp string, n long, cut double, factor double, {', '.join(f'm{i} double' for i in range(DIM))}, {', '.join(f'p{i}{j} double' for i, j in _PAIRS)}"
+#: Groups up to this number are sent to all tasks: 25 MB of parameters at most.
+GROUPS_SENT = 100_000
+_PARAMS = f"grp string, n long, log_det double, settled boolean, cut double, factor double, {', '.join(f'm{i} double' for i in range(DIM))}, {', '.join(f'p{i}{j} double' for i, j in _PAIRS)}"
 
 
-def _params(grp: str, n: int, centre: np.ndarray, scatter: np.ndarray, cut: float, factor: float) -> pd.DataFrame:
-    precision = np.linalg.inv(scatter + np.diag(FLOORS**2))
-    row = {"grp": grp, "n": n, "cut": cut, "factor": factor} | {f"m{i}": centre[i] for i in range(DIM)}
+def _params(grp: str, n: int, centre: np.ndarray, scatter: np.ndarray, cut: float, factor: float, log_det: float | None = None) -> pd.DataFrame:
+    floored = scatter + np.diag(FLOORS**2)
+    precision = np.linalg.inv(floored)
+    row = {"grp": grp, "n": n, "log_det": float(np.linalg.slogdet(floored)[1]) if log_det is None else log_det, "settled": False, "cut": cut, "factor": factor} | {f"m{i}": centre[i] for i in range(DIM)}
     return pd.DataFrame([row | {f"p{i}{j}": precision[i, j] * (1 if i == j else 2) for i, j in _PAIRS}])
 
 
@@ -154,7 +157,7 @@ def _start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         off = np.abs(values - centre[i])
         order = np.argsort(off, kind="stable")
         spread[i] = 1.4826 * off[order][np.searchsorted(np.cumsum(weights[order]), (n + 1) // 2)]
-    return _params(key[0], n, centre, np.diag(spread**2), 0.0, 1.0)
+    return _params(key[0], n, centre, np.diag(spread**2), 0.0, 1.0, np.inf)
 
 
 def distance() -> F.Column:
@@ -187,33 +190,49 @@ def _step(last: bool):  # noqa: ANN202
     return step
 
 
-def _with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
-    return rows.join(params, "grp", "left")
+def _with_params(rows: DataFrame, params: DataFrame, how: str) -> DataFrame:
+    """Parameters of few groups are sent to the rows, so that no group's rows are brought together."""
+    few = params.limit(GROUPS_SENT + 1).count() <= GROUPS_SENT
+    return rows.join(F.broadcast(params) if few else params, "grp", how)
 
 
-def fit(stats: DataFrame, *, min_rows: int = MIN_ROWS, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+def _stepped(rows: DataFrame, params: DataFrame, *, last: bool) -> DataFrame:
+    """Parameters after one step over all rows."""
+    place = F.floor(F.log2(F.greatest(distance(), F.lit(1e-9))) * BINS_PER_DOUBLING) + BINS // 2
+    sums = (
+        _with_params(rows, params, "inner").withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).cast("int"))
+        .groupBy("grp", "bin").agg(
+            F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)),
+            *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS),
+        )
+    )
+    return sums.groupBy("grp").applyInPandas(_step(last), _PARAMS)
+
+
+def fit(stats: DataFrame, *, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
     """(groups, parameters per group) of the minimum covariance determinant over all rows that pass the base rule."""
     groups, rows = _pooled(stats, min_rows)
     rows = stored(rows.where("NOT base_failed").select("grp", *(f"x{i}" for i in range(DIM))), "quality-vectors")
     values = rows.select("grp", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(DIM)))).alias("dim", "x"))
     histogram = values.groupBy("grp", "dim", (F.floor(F.col("x") / 16) * 16).alias("value")).agg(F.count("*").alias("n"))
-    params = stored(histogram.groupBy("grp").applyInPandas(_start, _PARAMS), "quality-params")
-    place = F.floor(F.log2(F.greatest(distance(), F.lit(1e-9))) * BINS_PER_DOUBLING) + BINS // 2
-    for k in range(steps):
-        sums = (
-            _with_params(rows, params).withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).cast("int"))
-            .groupBy("grp", "bin").agg(
-                F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)),
-                *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS),
-            )
-        )
-        params = stored(sums.groupBy("grp").applyInPandas(_step(k == steps - 1), _PARAMS), "quality-params")
+    save = lambda df: stored(df.coalesce(tasks_for(0)), "quality-params")
+    params = save(histogram.groupBy("grp").applyInPandas(_start, _PARAMS))
+    # A step that does not lower a group's determinant is not taken, and settles the group: determinants only fall,
+    # so this ends.
+    names = params.columns
+    while params.where("NOT settled").limit(1).count():
+        new = _stepped(rows, params.where("NOT settled"), last=False)
+        both = params.select("grp", F.struct(*names).alias("old")).join(new.select("grp", F.struct(*names).alias("new")), "grp", "left")
+        falls = F.col("new.log_det") < F.col("old.log_det") - 1e-6
+        settled = F.coalesce(~falls, F.lit(True))
+        params = save(both.select("grp", *(F.when(settled, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c) for c in names[1:] if c != "settled"), settled.alias("settled")).select(names))
+    params = save(_stepped(rows, params, last=True))
     return groups, params.where(F.col("n") >= min_rows)
 
 
 def verdicts(stats: DataFrame, groups: DataFrame, params: DataFrame) -> DataFrame:
     """Adds distance and kept."""
-    judged = _with_params(_grouped(stats, groups), params).withColumn("distance", distance())
+    judged = _with_params(_grouped(stats, groups), params, "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= F.coalesce(F.col("cut"), F.lit(0.0)))
     return judged.withColumn("kept", kept)
 
@@ -231,15 +250,14 @@ def keep_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.array([text_counts(t) for t in as_bytes(batch.column("__text"))], np.int64).reshape(-1, len(COUNTS))
+            counts = np.array([text_counts(t) for t in as_bytes(batch.columns[-1])], np.int64).reshape(-1, len(COUNTS))
             failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
             columns = [*batch.columns[:-1], pa.array(failed), *map(pa.array, vectors(counts).T)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    picked = docs.withColumn("__text", F.col("text").cast("string"))
     own = [f"__c{i}" for i in range(len(docs.columns))]
     names = [*own, "base_failed", *(f"x{i}" for i in range(DIM))]
-    renamed = picked.toDF(*own, "__text")
+    renamed = docs.select("*", F.col("text").cast("string").alias(unused(docs, "whole_text"))).toDF(*own, "whole_text")
     at = {c: own[i] for i, c in enumerate(docs.columns)}
     out = renamed.mapInArrow(mark, ", ".join([f"{c} {t}" for c, t in renamed.dtypes[:-1]] + ["base_failed boolean"] + [f"x{i} long" for i in range(DIM)]))
     out = out.withColumns({"lang": F.col(at["lang"]).cast("string"), "source": F.col(at["source"]).cast("string")})

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, partitions_for, slices, stored, table
+from quarry.llm.common import as_bytes, partitions_for, slices, stored, table, unused
 from quarry.llm.hashing import mix, prefix_sums, window_hashes
 
 LENGTH, ANCHOR = 100, 32
@@ -372,7 +372,10 @@ def kept_bytes(text: bytes, ranges: np.ndarray) -> bytes:
 
 
 def _with_places(docs: DataFrame, length: int) -> DataFrame:
-    return docs.join(repeated_places(docs, length=length).hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("r_doc"), "left").drop("r_doc")
+    """docs with one further column, their repeated places."""
+    doc, places = unused(docs, "r_doc"), unused(docs, "places")
+    repeats = repeated_places(docs, length=length).toDF(doc, places).hint("shuffle_hash")
+    return docs.join(repeats, docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
 
 
 def dedup_digests(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:

@@ -68,10 +68,31 @@ def test_shards_are_even_and_groups_stay_together(spark, shards):
         assert len(spread["hot"]) <= 4
 
 
+@pytest.mark.parametrize(("sizes", "shards"), [([300, 200, 90, 60, 40], 8), ([50, 50, 50, 50], 4), ([7, 5, 3, 2, 2, 2], 5), ([400], 3), ([2] * 60 + [33], 6)])
+def test_groups_lie_in_as_few_shards_as_they_must(spark, sizes, shards):
+    texts = [f"g{k}" for k, n in enumerate(sizes) for _ in range(n)] + [f"t{i}" for i in range(sum(sizes) // 2)]
+    random.Random(1).shuffle(texts)
+    rows = sharding.balanced_shards(docs_of(spark, texts).repartition(3), shards=shards).collect()
+    counts, spread = Counter(r["shard"] for r in rows), defaultdict(set)
+    assert max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
+    for r in rows:
+        spread[texts[r["doc_id"]]].add(r["shard"])
+    for k, n in enumerate(sizes):
+        assert len(spread[f"g{k}"]) <= -(-n // (len(texts) // shards)) + 1
+    assert sum(len(x) > 1 for x in spread.values()) <= shards
+
+
 def test_shards_of_nothing(spark):
     assert sharding.balanced_shards(docs_of(spark, [])).count() == 0
 
 
+def test_shards_of_repeated_rows_and_long_texts(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (None, None, "y"), (2, "b" * 300_000, None)]
+    out = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string, label string"), shards=2).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in out) == [(0, 1), (1, 2), (1, 2), (2, 300_001)]
+    assert sorted((r["shard"], r["slot"]) for r in out) == [(0, 0), (0, 1), (1, 0), (1, 1)] and len({r["shard"] for r in out if r["doc_id"] == 1}) == 1
+
+
 # Operator 3
 
 
@@ -164,17 +185,55 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}
 
 
-def test_fit_equals_a_plain_computation(spark):
-    """The last parameters are a fixed point of a plain reweighting step over all rows of the group."""
+def plain_distances(x):
+    """Distances by the minimum covariance determinant of plain rows: exact subsets, all steps until the determinant stays."""
+    floors, n = np.diag(quality_rules.FLOORS**2), len(x)
+    centre, scatter = np.median(x, axis=0), np.diag((1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0)) ** 2)
+    far = lambda c, s: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s + floors), x - c)
+    best = np.inf
+    while True:
+        own = x[np.argsort(far(centre, scatter), kind="stable")[: int(np.ceil(quality_rules.H_SHARE * n))]]
+        new = own.mean(axis=0), np.cov(own.T, bias=True)
+        det = np.linalg.slogdet(new[1] + floors)[1]
+        if det >= best - 1e-6:
+            break
+        best, (centre, scatter) = det, new
+    d = far(centre, scatter)
+    own = x[d <= quality_rules.CHI_WEIGHT * np.median(d) / quality_rules.CHI_HALF]
+    return far(own.mean(axis=0), np.cov(own.T, bias=True))
+
+
+def test_verdicts_equal_a_plain_computation(spark):
+    """Per language and source; rows within a tenth of the cut may go either way, for subsets are rounded up to a bin."""
     gen = random.Random(2)
-    texts = [" ".join("".join(gen.choice("abcd") for _ in range(gen.randrange(1, 9))) for _ in range(gen.randrange(20, 90))) for _ in range(300)]
-    docs = docs_of(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
-    stats = quality_rules.text_statistics(docs)
-    _, params = quality_rules.fit(stats)
-    p = params.first()
-    x = np.array([[r[f"x{i}"] for i in range(5)] for r in stats.where("NOT base_failed").collect()], float)
-    centre = np.array([p[f"m{i}"] for i in range(5)])
-    assert np.all(np.abs(centre - np.median(x, axis=0)) < 3 * x.std(axis=0) + 1) and p["n"] == len(x)
+    word = lambda a, b: "".join(gen.choice("abcd") for _ in range(gen.randrange(a, b)))
+    texts = []
+    for k in range(900):
+        w = [word(1, 5 + k % 3 * 2) for _ in range(gen.randrange(20, 120))]
+        if gen.random() < 0.12:
+            w = [x + gen.choice(["#", "$$", "", "XY", "&|%"]) for x in w]
+        if gen.random() < 0.1:
+            w = w[:9] * 2 + w
+        texts.append(gen.choice([" ", "\n"]).join(w))
+    docs = docs_of(spark, texts).withColumns({"lang": F.concat(F.lit("l"), F.col("doc_id") % 3), "source": F.lit("s")})
+    stats = {r["doc_id"]: r for r in quality_rules.text_statistics(docs).collect()}
+    rows = {r["doc_id"]: r for r in quality_rules.judge_documents(docs).collect()}
+    near = gone = 0
+    for k in range(3):
+        own = [i for i in range(k, 900, 3) if not stats[i]["base_failed"]]
+        for i, d in zip(own, plain_distances(np.array([[stats[i][f"x{j}"] for j in range(5)] for i in own], float)), strict=True):
+            near += (close := abs(d / quality_rules.CHI_CUT - 1) < 0.1)
+            gone += not rows[i]["kept"]
+            assert close or rows[i]["kept"] == (d <= quality_rules.CHI_CUT), (i, d, rows[i]["distance"])
+    assert near < 30 and gone > 30
+
+
+def test_quality_stage_keeps_clashing_columns_and_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "en", "a", "p", True, 1), (1, text, "en", "a", "p", True, 1), (None, text, None, None, None, None, None), (3, None, "en", "a", "q", False, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, whole_text string, base_failed boolean, x0 int")
+    kept = quality_rules.keep_documents(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[:3], key=repr)
 
 
 def test_small_and_empty_groups(spark):
@@ -302,6 +361,14 @@ def test_decontamination_equals_brute_force(spark):
             raw = (texts[r["doc_id"]] or "").encode()
             assert sum(len(norm(raw[s["start"] : s["end"]].decode())) for s in r["spans"]) == len(hit)
     assert decontaminate.clean_documents(docs_of(spark, texts), bench.limit(0)).count() == len(texts)
+    hit = {r["doc_id"] for r in decontaminate.benchmark_hits(docs_of(spark, texts), bench).collect() if r["contaminated"]}
+    rows = [(i % 20, t, 1) for i, t in enumerate(texts + texts[:9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    want = sorted((d, t or "", k) for i, (d, t, k) in enumerate(rows) if i % len(texts) not in hit)
+    for block in (1 << 22, 60):
+        clean = decontaminate.clean_documents(docs, bench, block_bytes=block)
+        assert clean.schema == docs.schema and sorted((d, t or "", k) for d, t, k in clean.collect()) == want
+    assert decontaminate.benchmark_hits(docs_of(spark, []), bench).count() == decontaminate.benchmark_hits(docs_of(spark, []), bench, block_bytes=60).count() == 0
 
 
 # Operator 7
@@ -400,15 +467,69 @@ def test_no_content_block_is_lost():
         html = "".join(some(4) for _ in range(3))
         blocks = html_text.blocks_of(html)
         if blocks:
-            scores, weights = np.sqrt(html_text.content_scores(blocks)), [len(b[0]) for b in blocks]
             text, at = html_text.main_text(html), 0
-            for b, s in zip(blocks, scores, strict=True):
-                if s >= html_text.THRESHOLD * np.average(scores, weights=weights):
+            for b, chosen in zip(blocks, html_text.content_blocks(blocks), strict=True):
+                if chosen:
                     at = text.find(b[0], at)
                     assert at >= 0, html
                     at += len(b[0])
 
 
+_TEXT = "Long text, with marks. It goes on, and on. " * 5
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><form id=f><nav>Menu a b</nav><div class=x><h1>Head</h1><p>{}</p><p>Short.</p></div><footer>(c) me</footer></form></body>", "Head {} Short."),
+        ("<html><head><title>T</title><meta charset=x><body><p>{}</p></body>", "{}"),
+        ("<html><head><title>T</title><div><p>{}</p></div>", "{}"),
+        ("<div class='search-results'><h2>Found</h2><p>{}</p></div>", "Found {}"),
+        ("<body><header>Site name</header><article><header><h1>Headline</h1></header><p>{}</p></article></body>", "Headline {}"),
+        ("<body><article><div class='post-header'><h1>Headline</h1></div><p>{}</p></article><article><h2>Two</h2><p>{}</p></article></body>", "Headline {} Two {}"),
+        ("<body><article><p>Hi there.</p></article><div class=comments><p>{}</p><p>{}</p></div></body>", "Hi there."),
+        ("<body><div class=post><h1>H</h1><p>{}</p></div><div id=sidebar><p>{}</p></div><div class='comment-list'><div><p>{}</p></div></div></body>", "H {}"),
+        ("<body><div><p>{}</p><p>Next, {}</p></div><div><a href=x>One</a> <a href=y>Two</a></div></body>", "{} Next, {}"),
+    ],
+)
+def test_odd_pages(html, text):
+    assert html_text.main_text(html.format(*[_TEXT] * 4)) == text.format(*[_TEXT.strip()] * 4)
+
+
+def test_ratios_decide(monkeypatch):
+    """With constant or random ratios other text is found; on pages without telling names the ratios alone find the article."""
+    body = "".join(f"<p>{_TEXT}{k}</p>" for k in range(4))
+    boxes = "".join(f"<ul><li>Item {k}</li><li>Thing {k}</li><li>Link {k}</li></ul>" for k in range(5))
+    page = f"<body><div>{boxes}</div><div><h2>Head of it</h2>{body}</div><div>{boxes}</div></body>"
+    want = html_text.main_text(page)
+    assert want == "Head of it " + " ".join(f"{_TEXT}{k}" for k in range(4))
+    monkeypatch.setattr(html_text, "content_scores", lambda blocks: np.ones(len(blocks)))
+    assert html_text.main_text(page) != want
+    gen = np.random.RandomState(1)
+    monkeypatch.setattr(html_text, "content_scores", lambda blocks: gen.rand(len(blocks)))
+    assert html_text.main_text(page) != want
+
+
+def test_pages_of_the_sample_give_their_articles():
+    """Whole articles and nothing else, in all pages of the sample."""
+    import html as references
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        article = page[page.index("<article>") : page.index("</article>")]
+        want = " ".join(references.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", article).replace("<b>", "").replace("</b>", "")).split())
+        assert " ".join(html_text.main_text(page).split()) == want
+
+
+def test_long_and_empty_pages(spark):
+    long = "<article>" + f"<p>{_TEXT}</p>" * 3000 + "</article>"
+    assert len(html_text.main_text(long)) == 3000 * len(_TEXT) - 1
+    assert html_text.main_text("<div>" * 3000 + "deep, text") == "deep, text"
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")
+    assert html_text.extract_pages(pages).count() == 0
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", "<p>a, b.</p>"), (1, "u", "<p>a, b.</p>"), (2, None, None)]
     out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
