@@ -21,18 +21,29 @@ def prefix_join(left: DataFrame, right: DataFrame, path: str, root: str, sep: st
     return unique_by(cut.join(right, F.col("__prefix") == F.col(root)).drop("__prefix"), left_key, order)
 
 
-def _grams(x: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n))))
+def _grams(x: Column, n: Column | int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n) if isinstance(n, int) else n)))
 
 
 def contains_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 4) -> DataFrame:
-    """Pairs in which the text contains the name, compared in lower case. A name meets the texts that hold its
-    first n-gram; names shorter than that meet texts by an n-gram of their own length. Each pair comes once."""
-    size = F.least(F.length(name), F.lit(gram))
-    keyed = names.where(F.length(name) > 0).withColumn("__gram", F.lower(F.substr(F.col(name), F.lit(1), size)))
-    grams = F.array_distinct(F.flatten(F.array(*(F.when(F.length(text) >= k, _grams(F.lower(F.col(text)), k)).otherwise(F.array().cast("array<string>")) for k in range(1, gram + 1)))))
-    cut = texts.withColumn("__gram", F.explode(grams))
-    return cut.join(keyed, "__gram").where(F.contains(F.lower(F.col(text)), F.lower(F.col(name)))).drop("__gram")
+    """Pairs in which the text contains the name, compared in lower case. A name meets the texts that hold its rarest
+    n-gram; names shorter than that meet texts by an n-gram of their own length. Each pair comes once.
+
+    Texts are cut into (digest, n-gram) rows, so what is exchanged grows with their length; whole texts are joined to
+    the candidate names once, and compared there. Only n-gram lengths that names have (at most `gram`) are cut."""
+    low, size = F.lower(F.col(name)), F.least(F.length(name), F.lit(gram))
+    named = names.where(F.length(name) > 0)
+    sizes = sorted(r["k"] for r in named.select(size.alias("k")).distinct().collect())
+    digest = F.md5(F.lower(F.col(text)))
+    grams = [F.when(F.length(text) >= k, _grams(F.lower(F.col(text)), k)).otherwise(F.array().cast("array<string>")) for k in sizes or [1]]
+    cut = texts.select(digest.alias("__text"), F.explode(F.flatten(F.array(*grams))).alias("__gram"))
+    own = named.select(name, F.explode(_grams(low, size)).alias("__gram")).distinct()
+    counts = cut.join(own.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    # A name with an n-gram that no text holds is in none.
+    rarest = own.join(counts, "__gram", "left").groupBy(name).agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"), F.count_if(F.col("__n").isNull()).alias("__none"))
+    near = cut.join(rarest.where("__none = 0"), "__gram").select("__text", name).distinct()
+    found = texts.withColumn("__text", digest).join(near, "__text").where(F.contains(F.lower(F.col(text)), low)).drop("__text")
+    return found.join(named, name)
 
 
 def contains_either(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

@@ -106,6 +106,7 @@ def schema_links(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Meaning of a reference's base name.
 SYNONYMS = {"owner": ["users"], "user": ["users"], "actor": ["users"], "author": ["users"], "creator": ["users"], "note": ["notes"], "subject": ["notes", "users"], "audit": ["audit_log"]}
+#: Fixed value: words of references to the own table.
 HIERARCHY = "parent|child|prev|next|manager|mentor|supervisor"
 
 

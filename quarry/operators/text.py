@@ -387,27 +387,36 @@ def drift(reports: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return reports.select(*keys, noted.alias("has_drift"), F.when(noted, F.substring(F.regexp_replace(body, r"\s+", " "), 1, 300)).alias("drift"))
 
 
+#: What stands in the place of markup: silent elements, cells, ends and starts of lines, any other tag.
+_MARKUP = [
+    (r"(?i)<(style|script)[\s\S]*?</\1>", " "),
+    (r"(?i)<t[hd][^>]*>", " | "),
+    (r"(?i)<tr[^>]*>|<br\s*/?>|</(?:p|li|h[1-6])>", "\n"),
+    (r"<[^>]+>", " "),
+]
+#: Character references that are read; an ampersand comes before the others, so that what it uncovers is read too.
+_REFERENCES = {"nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_OTHER_REFERENCE = r"&(?:#[0-9]+|[a-zA-Z]+);"
+#: A body with macros: their parameters go, their wrappers leave what they hold.
+_MACRO_PARAMETER, _MACRO_WRAPPER = r"<ac:parameter[^>]*>[\s\S]*?</ac:parameter>", r"</?ac:(?:structured-macro|rich-text-body)[^>]*>"
+
+
 def html_to_text(html: Column) -> Column:
-    """Ordered rewrite of a page body: parts dropped, cells to bars, blocks to lines, tags gone, references decoded."""
-    rules = [
-        (r"(?i)<style[\s\S]*?</style>", " "), (r"(?i)<script[\s\S]*?</script>", " "), (r"(?i)<th[^>]*>", " | "), (r"(?i)<td[^>]*>", " | "),
-        (r"(?i)<tr[^>]*>", "\n"), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n"), (r"(?i)</li>", "\n"), (r"(?i)</h[1-6]>", "\n"), (r"<[^>]+>", " "),
-        (r"&nbsp;", " "), (r"&amp;", "&"), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&apos;", "'"), (r"&#[0-9]+;", " "), (r"&[a-zA-Z]+;", " "),
-        (r"&lt;", "<"), (r"&gt;", ">"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
-    ]
-    for p, r in rules:
-        html = F.regexp_replace(html, p, r)
-    return html
+    """Lines of a page body, with bars between cells."""
+    for pattern, new in _MARKUP:
+        html = F.regexp_replace(html, pattern, new)
+    for name, letter in _REFERENCES.items():
+        html = F.replace(html, F.lit(f"&{name};"), F.lit(letter))
+    html = F.regexp_replace(html, _OTHER_REFERENCE, " ")
+    html = F.regexp_replace(F.regexp_replace(html, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.regexp_replace(html, r"^\s+|\s+$", "")
 
 
 def storage_to_text(view: Column, storage: Column, least: int = 50) -> Column:
-    """The rendered body if it is long enough, else the stored one without macro wrappers and parameters."""
-    for p, r in [
-        (r"</?ac:structured-macro[^>]*>", ""), (r"<ac:parameter[^>]*>[\s\S]*?</ac:parameter>", ""), (r"</?ac:rich-text-body[^>]*>", ""),
-        (r"<[^>]+>", " "), (r"\s+", " "), (r"^\s+|\s+$", ""),
-    ]:
-        storage = F.regexp_replace(storage, p, r)
-    return F.when(F.length(view) > least, html_to_text(view)).otherwise(F.coalesce(storage, F.lit("")))
+    """The rendered body if it is long enough, else the stored one on one line, without macros."""
+    bare = F.regexp_replace(F.regexp_replace(storage, _MACRO_PARAMETER, ""), _MACRO_WRAPPER, "")
+    line = F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
+    return F.when(F.length(view) > least, html_to_text(view)).otherwise(F.coalesce(line, F.lit("")))
 
 
 def normalize_markdown(text: Column, title: Column) -> Column:
