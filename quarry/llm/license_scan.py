@@ -11,11 +11,12 @@ CONTAINMENT / (2 * RATIO + 1 - CONTAINMENT), where RATIO is the spread of templa
 lengths in a class; BANDS is chosen so that the chance of missing a band is
 below `MISS`. Retrieved pairs are verified by exact shingle containment.
 
-A window can only share a one-value band if it holds the shingle that is the
-template's least one, so texts without any such shingle are done at once.
+A window can only share a band if it holds the shingles that are the template's
+least ones, so texts without any such shingle are done at once.
 
-Templates are a bounded table (documented bound: `TEMPLATES_MOST` rows), which
-is sent to the tasks. A template shorter than a shingle is one shingle of its
+Templates are sent to the tasks in blocks of at most `TEMPLATES_MOST` rows. More
+than one block means more than one pass over the texts; matches are then brought
+together by row. A template shorter than a shingle is one shingle of its
 own length; texts are hashed at these lengths too, and every place of the
 shingle is a match.
 
@@ -29,17 +30,19 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, table
+from quarry.llm.common import as_bytes, stored, table
 from quarry.llm.decontaminate import _NORMAL
 from quarry.llm.hashing import mix, word_hashes
 
-WORDS, CONTAINMENT, RATIO, ROWS, MISS = 5, 0.8, 2.0, 1, 1e-6
+WORDS, CONTAINMENT, RATIO, ROWS, MISS = 5, 0.8, 1.25, 2, 1e-6
 TEMPLATES_MOST = 10_000
 #: Notices by which works state their license, with its identifier.
 TEMPLATES = [
@@ -52,7 +55,8 @@ TEMPLATES = [
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MIT", "licensed under the MIT license"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -62,6 +66,21 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced"),
 ]
 
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Whole license texts.
+FULL_TEMPLATES = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _AS_IS),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _AS_IS),
+    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_TAIL}"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+]
+
 #: Notices shorter than a shingle.
 SHORT_TEMPLATES = [("Proprietary", "All rights reserved.")]
 
@@ -167,32 +186,57 @@ _SCHEMA = pa.schema(
 )
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
-    """Per document: its words, the licenses found, and where. templates(license, text) replaces the built-in ones."""
+_DDL = "doc_id long, n_words long, licenses array<string>, matches array<struct<license:string,first_word:long,n_words:long,containment:double>>"
+
+
+def _blocks(templates: DataFrame | None, most: int) -> Iterator[list[tuple[str, bytes | None]]]:
+    """Templates in blocks of about `most` rows at most, one at a time."""
     if templates is None:
-        rows = [(n, t.encode()) for n, t in TEMPLATES + SHORT_TEMPLATES]
-    else:
-        picked = templates.select(F.col("license").cast("string"), F.col("text").cast("binary")).limit(TEMPLATES_MOST + 1).collect()
-        if len(picked) > TEMPLATES_MOST:
-            raise ValueError(f"more than {TEMPLATES_MOST} templates")
-        rows = [(n, bytes(t) if t is not None else None) for n, t in picked]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                words = words_of(text)
-                found = index.matches(words)
-                out.append({
-                    "doc_id": doc_id, "n_words": len(words), "licenses": sorted({index.names[t] for t, *_ in found}),
-                    "matches": [{"license": index.names[t], "first_word": a, "n_words": k + index.sizes[t] - 1, "containment": c} for t, a, k, c in found],
-                })
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
-
-    ddl = "doc_id long, n_words long, licenses array<string>, matches array<struct<license:string,first_word:long,n_words:long,containment:double>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+        yield [(n, t.encode()) for n, t in TEMPLATES + FULL_TEMPLATES + SHORT_TEMPLATES]
+        return
+    rows = templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("binary").alias("body"))
+    n = -(-rows.count() // most)
+    if n > 1:
+        rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("license", "body"), F.lit(n))), "license-templates")
+    for k in range(max(1, n)):
+        own = rows.where(F.col("block") == k) if n > 1 else rows
+        yield [(r["license"], bytes(r["body"]) if r["body"] is not None else None) for r in own.collect()]
+
+
+def _found(index: Index, words: np.ndarray) -> list[dict]:
+    """Matches in the order of license and place."""
+    rows = [{"license": index.names[t], "first_word": a, "n_words": k + index.sizes[t] - 1, "containment": c} for t, a, k, c in index.matches(words)]
+    return sorted(rows, key=lambda r: (r["license"] or "", r["first_word"], r["n_words"], r["containment"]))
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, most: int = TEMPLATES_MOST) -> DataFrame:
+    """Per document: its words, the licenses found, and where. templates(license, text) replaces the built-in ones."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def scanned(texts: DataFrame, block: list[tuple[str, bytes | None]], key: str) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        schema = pa.schema([(key, pa.int64()), *list(_SCHEMA)[1:]])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value)
+            for batch in batches:
+                out = []
+                for row, text in zip(batch.column(key).to_pylist(), as_bytes(batch.column("text")), strict=True):
+                    words = words_of(text)
+                    found = _found(index, words)
+                    out.append({key: row, "n_words": len(words), "licenses": sorted({m["license"] or "" for m in found}), "matches": found})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+        return texts.mapInArrow(run, _DDL.replace("doc_id", key, 1))
+
+    blocks = _blocks(templates, most)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return scanned(docs, first, "doc_id")
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "license-rows")
+    parts = [stored(scanned(rows.select("row", "text"), block, "row"), "license-matches") for block in chain([first, second], blocks)]
+    merged = reduce(DataFrame.union, parts).groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("licenses")))).alias("licenses"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return rows.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", "licenses", "matches")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
