@@ -12,7 +12,8 @@ language, source and doc_id are no inputs of a score.
 
 Defined results: a null or empty text has the margin of the bias alone; without
 labelled rows, or with one class, every score is the smoothed share of label 1;
-repeated label rows count as they come; extra columns are ignored.
+repeated labels and repeated documents of one doc_id are one row of the fit (of
+several texts, the one of the least features); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import as_bytes, table
 
 SAMPLE, DIM_BITS, EPOCHS, COST = 8192, 18, 12, 1.0
-_DIM = 1 << DIM_BITS
+#: Hashed n-grams, then four marks for words that follow themselves.
+_HASHED = 1 << DIM_BITS
+_DIM = _HASHED + 4
 _GROUP = np.uint32(0x9E3779B1)
 
 
@@ -52,7 +55,7 @@ def indicators(text: bytes | None) -> np.ndarray:
     words = text.split()
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     for mark in range(min(4, int(same * 20 / max(1, len(words)) + (same > 0)))):
-        seen[(mark + 1) * 7919 % _DIM] = True
+        seen[_HASHED + mark] = True
     return np.flatnonzero(seen)
 
 
@@ -122,7 +125,7 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def train_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> tuple[np.ndarray, float, float, float]:
     """The model of the bounded sample. Features are made where the texts are; one task fits them."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
     picked = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
@@ -139,6 +142,7 @@ def train_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) ->
 
     found = (
         rows.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, features binary")
+        .groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
         .groupBy(F.lit(0).alias("all")).applyInPandas(fit_all, "weights binary, bias double, slope double, offset double").collect()
     )
     if not found:
