@@ -7,6 +7,8 @@ import numpy as np
 _GEN = np.random.RandomState(20240601)
 #: A random 64-bit value for each byte, and an odd multiplier with its inverse modulo 2**64.
 BYTE_VALUES = _GEN.randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+#: Other values, for a second hash of the same bytes.
+CHECK_VALUES = np.random.RandomState(20240602).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(3)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 20

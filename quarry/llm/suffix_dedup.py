@@ -14,9 +14,16 @@ their run's text; a task holds one slice of that order for all documents. In
 it, each arriving batch is sorted into an array, scanned against the levels
 there for equal runs (the earlier start stays, the later is a repeat), and added
 as a new level; levels of like sizes merge, so n batches leave log n levels.
-Equal runs settle all their windows at once. Runs that share an anchor but not
-their whole text (the ends of a passage) are few: their windows are compared
-byte by byte among blocks with an equal core.
+Equal runs settle all their windows at once. Two runs count as equal if 64 bits
+of their hash, 32 bits of a second one and the 64 bits of their anchor agree.
+Runs that share an anchor but not their whole text (the ends of a passage) are
+few: their windows are compared byte by byte among blocks with an equal core.
+
+Hot anchors, those that a sample of about `SAMPLE_ROWS` documents holds
+`HOT_IN_SAMPLE` times or more, would bring the rows of very many documents to
+one task. Their runs are dealt by anchor and run, and the windows of their
+different runs are dealt one by one and found equal by their hashes. The sample
+decides where rows go, never what is found.
 
 Defined results: null and empty texts have nothing to remove; texts shorter
 than LENGTH stay; a null doc_id takes part in no comparison and stays whole;
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import as_bytes, partitions_for, slices, stored, table, unused
-from quarry.llm.hashing import mix, prefix_sums, window_hashes
+from quarry.llm.hashing import CHECK_VALUES, mix, prefix_sums, window_hashes
 
 LENGTH, ANCHOR = 100, 32
 #: Windows per block when runs differ; a block's windows share LENGTH - BLOCK + 1 bytes.
@@ -43,8 +50,11 @@ BLOCK = 17
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes read at once; the rest of a longer text follows in further pieces.
 PIECE = 4 << 20
-#: Kinds of rows: indexed run, repeated windows (first window, number), run whose windows must be compared.
-RUN, REPEAT, COMPARE = 0, 1, 2
+#: Kinds of rows: indexed run, repeated windows (first window, number), run whose windows must be compared; and the
+#: first and the last for hot anchors.
+RUN, REPEAT, COMPARE, HOT_RUN, HOT_COMPARE = 0, 1, 2, 3, 4
+#: Documents that are sampled for hot anchors, and how often one must be found in them.
+SAMPLE_ROWS, HOT_IN_SAMPLE = 20_000, 50
 
 
 def window_anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +72,11 @@ def window_anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR)
 
 
 def runs_of(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, anchor hash, run hash) of all runs of some texts."""
+    """(text number, first window, windows, anchor hash, run hash, second run hash) of all runs of some texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(2))
+        return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(2)) + (np.empty(0, np.int32),)
     sums, chosen = window_anchors(data, length, anchor)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(chosen)]
@@ -82,21 +92,26 @@ def runs_of(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> t
     at, at_anchor = starts[first], picked[first]
     anchors = mix(window_hashes(sums, at_anchor, at_anchor + anchor))
     whole = mix(window_hashes(sums, at, at + count + length - 1) + count.astype(np.uint64))
-    return own[first], at - begins[own[first]], count, anchors, whole
+    return own[first], at - begins[own[first]], count, anchors, whole, second_hashes(data, at, at + count + length - 1)
+
+
+def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """32 further bits of the hashes of data[start:end]."""
+    return (mix(window_hashes(prefix_sums(data, CHECK_VALUES), starts, ends)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def pieces(batches: Iterator[pa.RecordBatch], length: int, most: int = PIECE) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(doc_ids, offsets, texts) of bounded size; long texts come in pieces that overlap by a window less one byte."""
     for batch in slices(batches, "text", 1 << 20):
         ids, offsets, texts = [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
             if doc_id is None or not text or len(text) < length:
                 continue
-            for at in range(0, len(text) - length + 1, PIECE):
+            for at in range(0, len(text) - length + 1, most):
                 ids.append(doc_id)
                 offsets.append(at)
-                texts.append(text[at : at + PIECE + length - 1])
-                if len(text) > PIECE:
+                texts.append(text[at : at + most + length - 1])
+                if len(text) > most:
                     yield ids, offsets, texts
                     ids, offsets, texts = [], [], []
         if ids:
@@ -106,33 +121,43 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[lis
 class Levels:
     """Sorted arrays of runs whose sizes at least double from level to level.
 
-    Rows are (run hash, anchor hash, doc_id, place); of equal runs the earliest stays.
+    Rows are (run hash, second hash, anchor hash, doc_id, place); of equal runs the earliest stays.
     """
 
     def __init__(self) -> None:
         self.levels: list[list[np.ndarray]] = []
 
-    def add(self, run: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, run: np.ndarray, check: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Adds a batch; returns (doc_id, place) of the runs found to be repeats."""
-        order = np.lexsort((place, doc, run))
-        new = [x[order] for x in (run, anchor, doc, place)]
+        order = np.lexsort((place, doc, anchor, check, run))
+        new = [x[order] for x in (run, check, anchor, doc, place)]
         first = np.ones(len(order), bool)
-        first[1:] = new[0][1:] != new[0][:-1]
+        first[1:] = (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1]) | (new[2][1:] != new[2][:-1])
         # A row that repeats the very place before it (a repeated row) is no repeat.
         heads = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else np.arange(0)
-        later = ~first & ~((new[2] == new[2][heads]) & (new[3] == new[3][heads]))
-        out = [(new[2][later], new[3][later])]
+        later = ~first & ~((new[3] == new[3][heads]) & (new[4] == new[4][heads]))
+        out = [(new[3][later], new[4][later])]
         new = [x[first] for x in new]
         for level in self.levels:
             at = np.minimum(np.searchsorted(level[0], new[0]), len(level[0]) - 1)
-            hit = np.flatnonzero(level[0][at] == new[0])
+            other = np.flatnonzero(level[0][at] == new[0])
+            hit = []
+            while len(other):  # more than once only where different runs share a hash
+                old = at[other]
+                same = (level[1][old] == new[1][other]) & (level[2][old] == new[2][other])
+                hit.append(other[same])
+                other = other[~same]
+                at[other] += 1
+                other = other[at[other] < len(level[0])]
+                other = other[level[0][at[other]] == new[0][other]]
+            hit = np.concatenate(hit) if hit else other
             if not len(hit):
                 continue
             old = at[hit]
-            same = (level[2][old] == new[2][hit]) & (level[3][old] == new[3][hit])
-            wins = (new[2][hit] < level[2][old]) | ((new[2][hit] == level[2][old]) & (new[3][hit] < level[3][old]))
-            out.append((np.where(wins, level[2][old], new[2][hit])[~same], np.where(wins, level[3][old], new[3][hit])[~same]))
-            level[2][old[wins]], level[3][old[wins]] = new[2][hit[wins]], new[3][hit[wins]]
+            same = (level[3][old] == new[3][hit]) & (level[4][old] == new[4][hit])
+            wins = (new[3][hit] < level[3][old]) | ((new[3][hit] == level[3][old]) & (new[4][hit] < level[4][old]))
+            out.append((np.where(wins, level[3][old], new[3][hit])[~same], np.where(wins, level[4][old], new[4][hit])[~same]))
+            level[3][old[wins]], level[4][old[wins]] = new[3][hit[wins]], new[4][hit[wins]]
             rest = np.ones(len(new[0]), bool)
             rest[hit] = False
             new = [x[rest] for x in new]
@@ -148,13 +173,15 @@ class Levels:
         order = np.argsort(joined[0], kind="stable")
         self.levels.append([x[order] for x in joined])
 
-    def unsettled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, doc_id, place) of the runs that share their anchor with a different run."""
+    def all(self) -> list[np.ndarray]:
+        """The rows of all levels, merged to one."""
         while len(self.levels) > 1:
             self.merge()
-        if not self.levels:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        _, anchor, doc, place = self.levels[0]
+        return self.levels[0] if self.levels else [np.empty(0, t) for t in (np.uint64, np.int32, np.uint64, np.int64, np.int64)]
+
+    def unsettled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, doc_id, place) of the runs that share their anchor with a different run."""
+        _, _, anchor, doc, place = self.all()
         order = np.argsort(anchor, kind="stable")
         anchor, doc, place = anchor[order], doc[order], place[order]
         shared = np.zeros(len(anchor), bool)
@@ -163,40 +190,77 @@ class Levels:
         return anchor[shared], doc[shared], place[shared]
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("run", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
-_ROWS_DDL = "key long, kind tinyint, run long, doc long, place long"
+_ROWS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("run", pa.int64()), ("check", pa.int32()), ("doc", pa.int64()), ("place", pa.int64())])
+_ROWS_DDL = "key long, kind tinyint, run long, check int, doc long, place long"
+
 
+def _rows(key: np.ndarray, kind: int, doc: np.ndarray, place: np.ndarray, run: np.ndarray | None = None, check: np.ndarray | None = None) -> pa.RecordBatch:
+    run = np.zeros(len(key), np.int64) if run is None else run.view(np.int64)
+    check = np.zeros(len(key), np.int32) if check is None else check
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int8)), *map(pa.array, (run, check, doc, place))], schema=_ROWS)
 
-def _rows(key: np.ndarray, kind: int, run: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int8)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(place)], schema=_ROWS
-    )
 
+def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-def _run_rows(texts: DataFrame, length: int) -> DataFrame:
-    """Runs of all texts. Repeats within a task's batch are settled there, so a frequent run sends one row per batch."""
 
-    def emit(levels: Levels, repeats: list) -> Iterator[pa.RecordBatch]:
-        while len(levels.levels) > 1:
-            levels.merge()
-        if levels.levels:
-            run, anchor, doc, place = levels.levels[0]
-            yield _rows(anchor, RUN, run, doc, place)
-        if repeats:
-            doc, place = (np.concatenate(x) for x in zip(*repeats, strict=True))
-            yield _rows(mix(doc.astype(np.uint64)), REPEAT, np.zeros(len(doc), np.int64), doc, place)
+class _Sender:
+    """Rows of one task: what repeats within the task is settled there, so a frequent run sends one row a batch."""
+
+    def __init__(self, kinds: np.ndarray, most: int = 1_000_000):
+        self.hot, self.most = kinds, most
+        self.levels, self.repeats, self.held = Levels(), [], 0
+
+    def add(self, run: np.ndarray, check: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.repeats.append(self.levels.add(run, check, anchor, doc, place))
+        self.held += len(run)
+        if self.held > self.most:
+            yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        run, check, anchor, doc, place = self.levels.all()
+        hot = _is_in(anchor, self.hot)
+        for kind, own in ((RUN, ~hot), (HOT_RUN, hot)):
+            if own.any():
+                key = anchor[own] if kind == RUN else mix(anchor[own] ^ run[own])
+                yield _rows(key, kind, doc[own], place[own], run[own], check[own])
+        if self.repeats:
+            doc, place = (np.concatenate(x) for x in zip(*self.repeats, strict=True))
+            if len(doc):
+                yield _rows(mix(doc.astype(np.uint64)), REPEAT, doc, place)
+        self.levels, self.repeats, self.held = Levels(), [], 0
+
+
+def hot_anchors(texts: DataFrame, length: int = LENGTH) -> np.ndarray:
+    """Anchors that many documents of a sample hold, sorted. A document counts each once a batch of texts."""
+    rows = texts.count()
+    schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, repeats, held = Levels(), [], 0
-        for ids, offsets, texts in pieces(batches, length):
-            own, first, count, anchors, whole = runs_of(texts, length)
-            doc, place = np.array(ids, np.int64)[own], (np.array(offsets, np.int64)[own] + first) * 128 + count
-            repeats.append(levels.add(whole, anchors, doc, place))
-            held += len(own)
-            if held > 1_000_000:
-                yield from emit(levels, repeats)
-                levels, repeats, held = Levels(), [], 0
-        yield from emit(levels, repeats)
+        for _, _, own in pieces(batches, length):
+            owner, _, _, anchors, _, _ = runs_of(own, length)
+            pairs = np.unique(np.stack([anchors, owner.astype(np.uint64)], axis=1), axis=0)[:, 0]
+            found, n = np.unique(pairs, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], schema=schema)
+
+    some = texts.sample(min(1.0, SAMPLE_ROWS / max(1, rows)), seed=1) if rows > SAMPLE_ROWS else texts
+    counts = some.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE)
+    return np.sort(counts.select("anchor").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _run_rows(texts: DataFrame, length: int, piece: int, hot: np.ndarray) -> DataFrame:
+    """Runs of all texts."""
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender(sent.value)
+        for ids, offsets, own in pieces(batches, length, piece):
+            owner, first, count, anchors, whole, check = runs_of(own, length)
+            yield from sender.add(whole, check, anchors, np.array(ids, np.int64)[owner], (np.array(offsets, np.int64)[owner] + first) * 128 + count)
+        yield from sender.end()
 
     return texts.mapInArrow(run, _ROWS_DDL)
 
@@ -205,25 +269,53 @@ def _settled_rows(rows: DataFrame, n: int) -> DataFrame:
     """Repeats, and runs to compare, of one slice of the order per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels()
-        empty = np.empty(0, np.int64)
+        plain, hot = Levels(), Levels()
         for batch in batches:
             kind = np.asarray(batch.column("kind"))
             if (kind == REPEAT).any():
                 yield batch.filter(pa.array(kind == REPEAT))
-            key, whole, doc, place = (np.asarray(batch.column(c))[kind == RUN] for c in ("key", "run", "doc", "place"))
-            doc, place = levels.add(whole.view(np.uint64), key.view(np.uint64), doc.copy(), place.copy())
-            if len(doc):
-                yield _rows(np.zeros(len(doc), np.int64), REPEAT, np.zeros(len(doc), np.int64), doc, place)
-        anchor, doc, place = levels.unsettled()
+            for levels, own in ((plain, kind == RUN), (hot, kind == HOT_RUN)):
+                if own.any():
+                    key, whole, check, doc, place = (np.asarray(batch.column(c))[own] for c in ("key", "run", "check", "doc", "place"))
+                    doc, place = levels.add(whole.view(np.uint64), check, key.view(np.uint64), doc, place)
+                    if len(doc):
+                        yield _rows(np.zeros(len(doc), np.int64), REPEAT, doc, place)
+        anchor, doc, place = plain.unsettled()
         if len(doc):
-            yield _rows(anchor, COMPARE, np.zeros(len(doc), np.int64), doc, place)
-        elif not levels.levels:
-            yield _rows(empty, RUN, empty, empty, empty)
+            yield _rows(anchor, COMPARE, doc, place)
+        _, _, anchor, doc, place = hot.all()
+        if len(doc):
+            yield _rows(anchor, HOT_COMPARE, doc, place)
 
     return rows.repartition(n, "key").mapInArrow(run, _ROWS_DDL)
 
 
+def _window_rows(texts: DataFrame, length: int) -> DataFrame:
+    """The windows of the runs to compare of texts(doc_id, text, places), one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender(np.empty(0, np.uint64))
+        for batch in slices(batches, "text", 1 << 20):
+            parts: list[bytes] = []
+            docs, starts, counts = [], [], []
+            for doc, text, places in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("places").to_pylist(), strict=True):
+                for place in set(places):
+                    docs.append(doc)
+                    starts.append(place >> 7)
+                    counts.append(place & 127)
+                    parts.append(text[starts[-1] : starts[-1] + counts[-1] + length - 1])
+            data = np.frombuffer(b"".join(parts), np.uint8)
+            count = np.array(counts, np.int64)
+            owner = np.repeat(np.arange(len(parts)), count)
+            within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.cumsum([0, *map(len, parts)])[owner] + within
+            whole = mix(window_hashes(prefix_sums(data), at, at + length))
+            yield from sender.add(whole, second_hashes(data, at, at + length), whole, np.array(docs, np.int64)[owner], (np.array(starts, np.int64)[owner] + within) * 128 + 1)
+        yield from sender.end()
+
+    return texts.mapInArrow(run, _ROWS_DDL)
+
+
 def _block_rows(texts: DataFrame, length: int) -> DataFrame:
     """Blocks of windows of the runs to compare: (core hash, doc, first window, windows, bytes)."""
 
@@ -264,6 +356,11 @@ _PAIR = pa.schema([("doc", pa.int64()), ("place", pa.int64())])
 def _repeated_windows(blocks: DataFrame, n: int, length: int) -> DataFrame:
     """(doc, place) of windows that start earlier too, in a block with an equal core."""
 
+    def shares_hash(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> bool:
+        """Whether different windows, in order of their hashes, share one: equal hashes count only if the bytes are equal."""
+        same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (keys[1:] == keys[:-1])) + 1
+        return any(data[at[i] : at[i] + length].tobytes() != data[at[i - 1] : at[i - 1] + length].tobytes() for i in same.tolist())
+
     def settle(columns: list[np.ndarray], parts: list[bytes]) -> pa.RecordBatch | None:
         key, doc, first, count = columns
         total = int(count.sum())
@@ -275,14 +372,14 @@ def _repeated_windows(blocks: DataFrame, n: int, length: int) -> DataFrame:
         hashes = window_hashes(prefix_sums(data), at, at + length)
         start = first[owner] + offset
         order = np.lexsort((start, doc[owner], hashes, key[owner]))
+        if shares_hash(data, at[order], hashes[order], key[owner][order]):
+            known: dict[bytes, int] = {}
+            hashes = np.array([known.setdefault(data[a : a + length].tobytes(), len(known)) for a in at.tolist()], np.uint64)
+            order = np.lexsort((start, doc[owner], hashes, key[owner]))
         k, h, d, s = key[owner][order], hashes[order], doc[owner][order], start[order]
         head = np.ones(total, bool)
         head[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
         heads = np.maximum.accumulate(np.where(head, np.arange(total), 0))
-        # Equal fingerprints count only if the bytes are equal.
-        for i in np.flatnonzero(~head):
-            if data[at[order[i]] : at[order[i]] + length].tobytes() != data[at[order[heads[i]]] : at[order[heads[i]]] + length].tobytes():
-                raise ValueError("two windows share a fingerprint")
         later = ~head & ~((d == d[heads]) & (s == s[heads]))
         if not later.any():
             return None
@@ -336,16 +433,22 @@ def _repeated_windows(blocks: DataFrame, n: int, length: int) -> DataFrame:
     return blocks.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, place long")
 
 
-def repeated_places(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def repeated_places(docs: DataFrame, *, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """(doc_id, places): first windows (times 128, plus their number) that repeat earlier ones."""
     spark = docs.sparkSession
     n = 4 * partitions_for(spark, 8)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = stored(_settled_rows(_run_rows(texts, length), n).select("kind", "doc", "place"), "suffix-marks")
-    compare = marks.where(F.col("kind") == COMPARE).groupBy("doc").agg(F.collect_list("place").alias("places"))
-    found = texts.join(compare.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "places")
-    windows = _repeated_windows(_block_rows(found, length), n, length)
-    repeats = marks.where(F.col("kind") == REPEAT).select("doc", "place").union(windows)
+    hot = hot_anchors(texts, length)
+    marks = stored(_settled_rows(_run_rows(texts, length, piece, hot), n).select("kind", "doc", "place"), "suffix-marks")
+
+    def to_compare(kind: int) -> DataFrame:
+        own = marks.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list("place").alias("places"))
+        return texts.join(own.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "places")
+
+    repeats = marks.where(F.col("kind") == REPEAT).select("doc", "place").union(_repeated_windows(_block_rows(to_compare(COMPARE), length), n, length))
+    if len(hot):
+        windows = _settled_rows(_window_rows(to_compare(HOT_COMPARE), length), n)
+        repeats = repeats.union(windows.where(F.col("kind") == REPEAT).select("doc", "place"))
     return stored(repeats.groupBy(F.col("doc").alias("r_doc")).agg(F.collect_list("place").alias("places")), "suffix-repeats")
 
 
@@ -371,14 +474,14 @@ def kept_bytes(text: bytes, ranges: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_places(docs: DataFrame, length: int) -> DataFrame:
+def _with_places(docs: DataFrame, length: int, piece: int) -> DataFrame:
     """docs with one further column, their repeated places."""
     doc, places = unused(docs, "r_doc"), unused(docs, "places")
-    repeats = repeated_places(docs, length=length).toDF(doc, places).hint("shuffle_hash")
+    repeats = repeated_places(docs, length=length, piece=piece).toDF(doc, places).hint("shuffle_hash")
     return docs.join(repeats, docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
 
 
-def dedup_digests(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def dedup_digests(docs: DataFrame, *, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """Per document: bytes, removed bytes, removed spans, and the digest of what is left."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -393,10 +496,10 @@ def dedup_digests(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], schema=schema)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_places(picked, length).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_places(picked, length, piece).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """The documents with repeated passages cut out (a character cut in half goes too); documents of which
     nothing is left are dropped. All columns stay; n_chars, where there is one, follows the text."""
     own = docs.columns
@@ -412,7 +515,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(~emptied))
 
-    joined = _with_places(docs, length)
+    joined = _with_places(docs, length, piece)
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" in own:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
