@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.names import slugify
+from quarry.operators.durable import saved
 from quarry.operators.relational import ordinals, unique_by
 
 
@@ -153,20 +152,18 @@ def issue_nodes(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(id, depth): least number of hops from any start node. Frontier joins; every second round cuts the lineage."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"spark-{uuid.uuid4().hex[:6]}", dir="/tmp"))
+    """(id, depth): least number of hops from any start node. Frontier joins; every second round is saved, which cuts
+    the lineage."""
     seen = start.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 1):
         found = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         frontier = found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
         if depth % 2 == 0:
-            frontier = frontier.checkpoint()
+            frontier = saved(frontier, "frontier")
         seen = seen.unionByName(frontier)
         if depth % 2 == 0:
-            seen = seen.checkpoint()
+            seen = saved(seen, "reached")
             if frontier.isEmpty():
                 break
     return seen

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.names import tokens
+from quarry.operators.durable import saved
 from quarry.operators.relational import unique_by
 
 
@@ -53,7 +54,7 @@ def contains_either(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFr
 
 def align(doc_names: DataFrame, code_names: DataFrame, doc: str, code: str) -> DataFrame:
     """matched / doc_only / code_only names by containment in either direction."""
-    pairs = contains_either(doc_names, code_names, doc, code)
+    pairs = saved(contains_either(doc_names, code_names, doc, code).select(doc, code), "aligned")
     matched = pairs.select(F.col(doc).alias("name")).distinct()
     doc_only = doc_names.join(pairs.select(doc).distinct(), doc, "left_anti").select(F.col(doc).alias("name"))
     code_only = code_names.join(pairs.select(code).distinct(), code, "left_anti").select(F.col(code).alias("name"))

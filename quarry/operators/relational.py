@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.durable import saved
+
 Order = list[Column | str]
 
 
@@ -54,23 +56,48 @@ def ordinals(df: DataFrame, keys: list[str], order: Order, out: str = "ord") ->
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))))
 
 
+def ranks(df: DataFrame, keys: list[str], order: Order, out: str) -> DataFrame:
+    """Rank of each row within its keys, for keys that may hold any share of the rows. Rows are dealt by ranges of
+    (keys, order), so a large key lies in several partitions; a row's rank is its place there plus the rows of its key
+    in the partitions before. Rows with equal keys and order are ranked in any order, but only once."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*_cols(keys), *_cols(order)]
+    placed = saved(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    runs = placed.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__n")
+    runs = runs.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), (before - F.col("__first") + 1).alias("__shift"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(runs, same).select(*df.columns, (F.col("__at") + F.col("__shift")).alias(out))
+
+
 def sequence_ids(df: DataFrame, prefix: Column, order: Order, out: str = "seq_id") -> DataFrame:
     """prefix, then prefix-2, prefix-3 within equal prefixes."""
-    place = F.row_number().over(Window.partitionBy(prefix).orderBy(*_cols(order)))
-    return df.withColumn(out, F.when(place == 1, prefix).otherwise(F.concat_ws("-", prefix, place.cast("string"))))
+    placed = ranks(df.withColumn("__prefix", prefix), ["__prefix"], order, "__place")
+    return placed.withColumn(out, F.when(F.col("__place") == 1, F.col("__prefix")).otherwise(F.concat_ws("-", "__prefix", F.col("__place").cast("string")))).drop("__prefix", "__place")
 
 
 def chunk(df: DataFrame, keys: list[str], order: Order, size: int) -> DataFrame:
     """Chunk number of each row, and its label i/n."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order))
-    numbered = df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size) + 1)
-    return numbered.withColumn("chunk_label", F.concat_ws("/", F.col("chunk").cast("string"), F.max("chunk").over(Window.partitionBy(*keys)).cast("string")))
+    placed = ranks(df, keys, order, "__place")
+    last = placed.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.max("__place").alias("__last"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    number = lambda c: F.floor((F.col(c) - 1) / size) + 1
+    numbered = placed.join(last, same).withColumn("chunk", number("__place"))
+    return numbered.withColumn("chunk_label", F.concat_ws("/", F.col("chunk").cast("string"), number("__last").cast("string"))).select(*df.columns, "chunk", "chunk_label")
 
 
 def pack(df: DataFrame, keys: list[str], order: Order, length: str, cap: int, separator: int = 2) -> DataFrame:
-    """Ranked rows until the joined length would pass the cap: sums only grow, so a prefix is exact."""
+    """Ranked rows until the joined length would pass the cap: sums only grow, so a prefix is exact. Every row takes a
+    separator at least, which bounds the rows that can be packed: tasks keep no more of a key than that."""
+    if separator > 0:
+        df = top_k(df, keys, order, (cap + separator) // separator)
     w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.col(length) + separator).over(w) - separator
+    total = F.sum(F.coalesce(F.col(length), F.lit(0)) + separator).over(w) - separator
     return df.withColumn("packed_length", total).where(F.col("packed_length") <= cap)
 
 

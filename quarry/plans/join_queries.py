@@ -120,11 +120,14 @@ def _(s, d):
     return flows.supplement(base, extra, "target")
 
 
+_KINDS = "SELECT DISTINCT lower(c_mktsegment) AS needle FROM customer UNION SELECT DISTINCT lower(p_type) FROM part"
+
+
 @query("j17_align", f"""
-WITH a AS (SELECT DISTINCT p_name AS x FROM part WHERE p_partkey % 3 <> 0), b AS ({_NEEDLES}), m AS (SELECT x, needle FROM a, b WHERE contains(lower(x), needle) OR contains(needle, lower(x)))
+WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS ({_KINDS}), m AS (SELECT x, needle FROM a, b WHERE contains(lower(x), needle) OR contains(needle, lower(x)))
 SELECT 'matched' AS status, x AS name FROM (SELECT DISTINCT x FROM m) UNION ALL SELECT 'doc_only', x FROM a WHERE x NOT IN (SELECT x FROM m) UNION ALL SELECT 'code_only', needle FROM b WHERE needle NOT IN (SELECT needle FROM m)""")
 def _(s, d):
-    return L.align(table(s, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_name").alias("x")).distinct(), derive(s, d, _NEEDLES), "x", "needle")
+    return L.align(table(s, d, "part").select(F.col("p_name").alias("x")).distinct(), derive(s, d, _KINDS), "x", "needle")
 
 
 @query("j20_broken_edges", f"""

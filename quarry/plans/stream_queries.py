@@ -3,12 +3,12 @@ as logs first, then read back as a stream with all that is available."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.durable import shared_dir
 from quarry.plans.inputs import SOURCES, derive, table
 from quarry.plans.registry import query
 from quarry.sources import corpus
@@ -16,9 +16,8 @@ from quarry.streaming import deltas
 
 
 def _folder(s: SparkSession) -> str:
-    """A new folder in the shared one of spark.checkpoint.dir; a temporary one where that is unset."""
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(s: SparkSession, stream: DataFrame, folder: str, mode: str) -> DataFrame:
@@ -77,19 +76,9 @@ def _(s, d):
     return _drained(s, stream, folder, "append").select("id")
 
 
-@query("s1_read_corpus", f"SELECT regexp_extract(file, '([^/]+)$', 1) AS name, CAST(length(text) AS BIGINT) AS n FROM ({SOURCES}) WHERE file NOT LIKE '%/web/%' AND p_partkey < 60")
-def _(s, d):
-    # One file per source row of a small slice: file names need one task per partition value.
-    folder = _folder(s)
-    rows = derive(s, d, SOURCES).where("p_partkey < 60").select(F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), F.when(F.contains("file", F.lit("/web/")), "web").otherwise("app").alias("area"), "text")
-    rows.repartition(8, "name").write.option("lineSep", "\u0000").partitionBy("area", "name").text(f"{folder}/files")
-    files = corpus.read_corpus(s, f"{folder}/files", [".txt"], skip_path_regex=r"area=web/")
-    return files.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), F.length(F.replace("text", F.lit("\u0000"), F.lit(""))).cast("long").alias("n"))
-
-
-@query("s1_read_whole_corpus", f"SELECT regexp_extract(file, '([^/]+)$', 1) AS name, CAST(length(text) AS BIGINT) AS n FROM ({SOURCES}) WHERE file NOT LIKE '%/web/%'")
-def _(s, d):
-    # All source rows, many to a file of bounded length: name, U+0001, text and U+0000 each.
+def _source_files(s: SparkSession, d: str) -> DataFrame:
+    """All source rows written as files of bounded length (name, U+0001, text and U+0000 each), and read as a corpus
+    without the web area: (area, brand, name, text)."""
     folder = _folder(s)
     rows = derive(s, d, SOURCES).select(
         F.when(F.contains("file", F.lit("/web/")), "web").otherwise("app").alias("area"), F.regexp_extract("file", r"^src/([^/]+)/", 1).alias("brand"),
@@ -97,9 +86,19 @@ def _(s, d):
     )
     rows.repartition("value").write.option("lineSep", "\u0000").option("maxRecordsPerFile", 10_000).partitionBy("area", "brand").text(f"{folder}/files")
     files = corpus.read_corpus(s, f"{folder}/files", [".txt"], skip_path_regex=r"area=web/")
-    records = files.select(F.explode(F.split("text", "\u0000")).alias("record")).where(F.length("record") > 0)
+    records = files.select(F.regexp_extract("path", r"brand=([^/]+)/", 1).alias("brand"), F.explode(F.split("text", "\u0000")).alias("record")).where(F.length("record") > 0)
     parts = F.split("record", "\u0001", 2)
-    return records.select(parts[0].alias("name"), F.length(parts[1]).cast("long").alias("n"))
+    return records.select("brand", parts[0].alias("name"), parts[1].alias("text"))
+
+
+@query("s1_read_corpus", f"SELECT regexp_extract(file, '^src/([^/]+)/', 1) AS brand, count(*) AS n_files, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({SOURCES}) WHERE file NOT LIKE '%/web/%' GROUP BY 1")
+def _(s, d):
+    return _source_files(s, d).groupBy("brand").agg(F.count("*").alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("s1_read_whole_corpus", f"SELECT regexp_extract(file, '([^/]+)$', 1) AS name, CAST(length(text) AS BIGINT) AS n FROM ({SOURCES}) WHERE file NOT LIKE '%/web/%'")
+def _(s, d):
+    return _source_files(s, d).select("name", F.length("text").cast("long").alias("n"))
 
 
 @query("s12_append_delta", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
