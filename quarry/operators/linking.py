@@ -33,15 +33,15 @@ def contains_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, gra
     Texts are cut into (digest, n-gram) rows, so what is exchanged grows with their length; whole texts are joined to
     the candidate names once, and compared there. Only n-gram lengths that names have (at most `gram`) are cut."""
     low, size = F.lower(F.col(name)), F.least(F.length(name), F.lit(gram))
-    named = names.where(F.length(name) > 0)
-    sizes = sorted(r["k"] for r in named.select(size.alias("k")).distinct().collect())
+    named = saved(names.where(F.length(name) > 0), "names")  # read several times
+    sizes = named.agg(F.collect_set(size).alias("k")).first()["k"]
     digest = F.md5(F.lower(F.col(text)))
-    grams = [F.when(F.length(text) >= k, _grams(F.lower(F.col(text)), k)).otherwise(F.array().cast("array<string>")) for k in sizes or [1]]
+    grams = [F.when(F.length(text) >= k, _grams(F.lower(F.col(text)), k)).otherwise(F.array().cast("array<string>")) for k in sorted(sizes) or [1]]
     cut = texts.select(digest.alias("__text"), F.explode(F.flatten(F.array(*grams))).alias("__gram"))
-    own = named.select(name, F.explode(_grams(low, size)).alias("__gram")).distinct()
+    own = named.select(name, F.explode(_grams(low, size)).alias("__gram"))
     counts = cut.join(own.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
     # A name with an n-gram that no text holds is in none.
-    rarest = own.join(counts, "__gram", "left").groupBy(name).agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"), F.count_if(F.col("__n").isNull()).alias("__none"))
+    rarest = own.join(counts, "__gram", "left").groupBy(name).agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"), F.count_if(F.col("__n").isNull()).alias("__none"))
     near = cut.join(rarest.where("__none = 0"), "__gram").select("__text", name).distinct()
     found = texts.withColumn("__text", digest).join(near, "__text").where(F.contains(F.lower(F.col(text)), low)).drop("__text")
     return found.join(named, name)

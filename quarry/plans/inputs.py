@@ -66,10 +66,12 @@ SELECT 'n' || CAST(n_nationkey AS STRING) AS src, 'r' || CAST(n_regionkey AS STR
 UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'n' || CAST(c_nationkey AS STRING), 'IN_NATION' FROM customer
 UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), 'n' || CAST(s_nationkey AS STRING), 'IN_NATION' FROM supplier"""
 
-#: Types (nation.customer) that depend on types (nation.supplier) by a line item.
+#: Types (nation.customer) that depend on types (nation.supplier) by a line item. Names are unique by key, so pairs are
+#: made distinct as numbers, before names are joined.
 TYPE_DEPS = """
-SELECT DISTINCT cn.n_name || '.' || c_name AS from_type, sn.n_name || '.' || s_name AS to_type
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+SELECT cn.n_name || '.' || c_name AS from_type, sn.n_name || '.' || s_name AS to_type
+FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) pairs
+JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey"""
 
 #: Events as steps of a trace per user and day.

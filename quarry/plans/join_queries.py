@@ -285,11 +285,11 @@ def _(s, d):
     return derive(s, d, ENDPOINTS).select("page_id", N.endpoint_family("path").alias("family"))
 
 
-@query("c16_token_overlap", f"SELECT a.conv_id, len(list_intersect({_TOKENS.format('a.text')}, {_TOKENS.format('b.text')})) AS overlap FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1")
+@query("c16_token_overlap", f"SELECT a.conv_id, a.turn, len(list_intersect({_TOKENS.format('a.text')}, {_TOKENS.format('b.text')})) AS overlap FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def _(s, d):
     c = table(s, d, "conversations")
-    a, b = c.where("turn = 0").select("conv_id", F.col("text").alias("a")), c.where("turn = 1").select("conv_id", F.col("text").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", N.overlap(N.tokens("a"), N.tokens("b")).cast("long").alias("overlap"))
+    a, b = c.select("conv_id", "turn", F.col("text").alias("a")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", N.overlap(N.tokens("a"), N.tokens("b")).cast("long").alias("overlap"))
 
 
 @query("c21_kinds", f"""

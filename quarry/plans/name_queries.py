@@ -101,3 +101,15 @@ def _(s, d):
         N.java_type(N.mapped((k % 4).cast("string"), {"0": "BigDecimal", "1": "List<String>", "2": "LocalDate"}, "Customer")).alias("java_type"),
         N.listener_kind(N.mapped((k % 3).cast("string"), {"0": "@KafkaListener", "1": "JmsTemplate"}, "@EventListener")).alias("listener"),
     )
+
+
+@query("c9_simple_names", """
+SELECT p_partkey, 'Part' || CAST(p_partkey AS VARCHAR) AS simple, p_name || '.java' AS base,
+  CASE p_size % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'timestamp' WHEN 2 THEN 'uuid' WHEN 3 THEN 'json' WHEN 4 THEN 'string' END AS column_type FROM part""")
+def _(s, d):
+    p, key = table(s, d, "part"), F.col("p_partkey").cast("string")
+    kind = N.mapped((F.col("p_size") % 6).cast("string"), {"0": "NUMERIC(10, 2)", "1": "TIMESTAMPTZ", "2": "owner_id", "3": "JSONB", "4": "VARCHAR (20)"}, "geometry")
+    return p.select(
+        "p_partkey", N.simple_name(F.concat(F.lit(" com.shop."), F.lower("p_type"), F.lit(".Part"), key)).alias("simple"), N.base_name(F.concat(F.lit("src\\"), "p_brand", F.lit("/"), "p_name", F.lit(".java"))).alias("base"),
+        N.column_type(kind).alias("column_type"),
+    )

@@ -8,7 +8,7 @@ from quarry.functions import names as N
 from quarry.operators import linking, quality, records, schema, text
 from quarry.operators.aggregates import common_prefix
 from quarry.operators.graph import reachable
-from quarry.operators.relational import merge_evidence, pack, unique_by
+from quarry.operators.relational import merge_evidence, pack, ranks, unique_by
 
 
 def one(spark, value, *columns):
@@ -109,3 +109,41 @@ def test_the_whole_corpus_is_read(spark):
     parts = {f"Part{r[0]}Service.java" for r in spark.read.parquet(f"{sf}/part.parquet").where("p_size % 3 = 0").select("p_partkey").collect()}
     names = [r["name"] for r in QUERIES["s1_read_whole_corpus"](spark, sf).collect()]
     assert len(names) == len(parts) and set(names) == parts and any(int(n[4:].split("S")[0]) >= 60 for n in names)
+
+
+def test_ranks_of_a_key_that_holds_most_rows(spark):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", (i * 37) % 101, i) for i in range(700)]
+    out = ranks(spark.createDataFrame(rows, "k string, at int, id int").repartition(5), ["k"], ["at", F.desc("id")], "place").collect()
+    groups = {}
+    for k, at, i in rows:
+        groups.setdefault(k, []).append((at, -i, i))
+    want = {i: place for own in groups.values() for place, (_, _, i) in enumerate(sorted(own), 1)}
+    assert {r["id"]: r["place"] for r in out} == want and len(out) == len(rows)
+
+
+def test_packed_rows_end_at_the_cap(spark):
+    rows = [("a", i, 3 + i % 5) for i in range(60)] + [("b", i, None) for i in range(30)] + [("c", 1, 99)]
+    out = pack(spark.createDataFrame(rows, "k string, at int, n int"), ["k"], ["at"], "n", 40).collect()
+    want, total = [], {}
+    for k, at, n in rows:
+        total[k] = total.get(k, -2) + (n or 0) + 2
+        if total[k] <= 40:
+            want.append((k, at, total[k]))
+    assert sorted((r["k"], r["at"], r["packed_length"]) for r in out) == sorted(want)
+
+
+def test_containment_equals_brute_force(spark):
+    gen = random.Random(4)
+    make = lambda a, b: "".join(gen.choice("abAB ç") for _ in range(gen.randrange(a, b)))
+    texts = [make(0, 60) for _ in range(80)] + [None, "", "aaaa", "aaaa"]
+    names = sorted({make(1, 7) for _ in range(60)}) + ["", None, "not there at all"]
+    left = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    right = spark.createDataFrame([(n, k) for n in names for k in ((1, 2) if n == "ab" else (1,))], "name string, k int")
+    got = sorted((r["id"], r["name"], r["k"]) for r in linking.contains_pairs(left, right, "text", "name").collect())
+    assert got == sorted((i, n, k) for i, t in enumerate(texts) if t for n in names if n and n.lower() in t.lower() for k in ((1, 2) if n == "ab" else (1,)))
+    assert linking.contains_pairs(left, right.where("name = ''"), "text", "name").count() == 0
+
+
+def test_page_text(spark):
+    html = "<style>p{}</style><script>a</script><table><TR><th>A</th><td>B &amp;lt; C</td></TR></table><p>One<br/>two</p>&nbsp;&quot;x&quot;&#39;&copy;<h2>Head</h2><li>i</li>"
+    assert one(spark, html, text.html_to_text(F.col("x")))[0] == '| A  | B < C \n One\ntwo\n "x" Head\n i'.replace("| A  | B", "| A | B")
