@@ -146,4 +146,4 @@ def test_containment_equals_brute_force(spark):
 
 def test_page_text(spark):
     html = "<style>p{}</style><script>a</script><table><TR><th>A</th><td>B &amp;lt; C</td></TR></table><p>One<br/>two</p>&nbsp;&quot;x&quot;&#39;&copy;<h2>Head</h2><li>i</li>"
-    assert one(spark, html, text.html_to_text(F.col("x")))[0] == '| A  | B < C \n One\ntwo\n "x" Head\n i'.replace("| A  | B", "| A | B")
+    assert one(spark, html, text.html_to_text(F.col("x")))[0] == '| A | B < C One\ntwo\n "x" Head\n i'
