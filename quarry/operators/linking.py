@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions.names import tokens
@@ -26,30 +26,42 @@ def _grams(x: Column, n: Column | int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n) if isinstance(n, int) else n)))
 
 
-def contains_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 4) -> DataFrame:
-    """Pairs in which the text contains the name, compared in lower case. A name meets the texts that hold its rarest
-    n-gram; names shorter than that meet texts by an n-gram of their own length. Each pair comes once.
+def _sized(df: DataFrame, name: str, gram: int) -> tuple[DataFrame, list[int]]:
+    """The rows with a name, written once for several readings, and the n-gram lengths that the names need."""
+    seen, size = Observation(), F.least(F.length(name), F.lit(gram))
+    named = saved(df.where(F.length(name) > 0).observe(seen, *(F.count_if(size == k).alias(f"k{k}") for k in range(1, gram + 1))), "names")
+    return named, [k for k in range(1, gram + 1) if seen.get[f"k{k}"]]
 
-    Texts are cut into (digest, n-gram) rows, so what is exchanged grows with their length; whole texts are joined to
-    the candidate names once, and compared there. Only n-gram lengths that names have (at most `gram`) are cut."""
+
+def _contained(texts: DataFrame, named: DataFrame, sizes: list[int], text: str, name: str, gram: int) -> DataFrame:
     low, size = F.lower(F.col(name)), F.least(F.length(name), F.lit(gram))
-    named = saved(names.where(F.length(name) > 0), "names")  # read several times
-    sizes = named.agg(F.collect_set(size).alias("k")).first()["k"]
     digest = F.md5(F.lower(F.col(text)))
-    grams = [F.when(F.length(text) >= k, _grams(F.lower(F.col(text)), k)).otherwise(F.array().cast("array<string>")) for k in sorted(sizes) or [1]]
+    grams = [F.when(F.length(text) >= k, _grams(F.lower(F.col(text)), k)).otherwise(F.array().cast("array<string>")) for k in sizes or [1]]
     cut = texts.select(digest.alias("__text"), F.explode(F.flatten(F.array(*grams))).alias("__gram"))
     own = named.select(name, F.explode(_grams(low, size)).alias("__gram"))
-    counts = cut.join(own.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    counts = cut.join(own.select("__gram"), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
     # A name with an n-gram that no text holds is in none.
     rarest = own.join(counts, "__gram", "left").groupBy(name).agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"), F.count_if(F.col("__n").isNull()).alias("__none"))
     near = cut.join(rarest.where("__none = 0"), "__gram").select("__text", name).distinct()
     found = texts.withColumn("__text", digest).join(near, "__text").where(F.contains(F.lower(F.col(text)), low)).drop("__text")
-    return found.join(named, name)
+    return found if named.columns == [name] else found.join(named, name)
+
+
+def contains_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 4) -> DataFrame:
+    """Pairs in which the text contains the name, compared in lower case. A name meets the texts that hold its rarest
+    n-gram; names shorter than that meet texts by an n-gram of their own length. Each pair comes once.
+
+    Texts are cut into (digest, n-gram) rows, so what is exchanged grows with their length; whole texts are joined to
+    the candidate names once, and compared there. Only n-gram lengths that names have (at most `gram`) are cut."""
+    named, sizes = _sized(names, name, gram)
+    return _contained(texts, named, sizes, text, name, gram)
 
 
-def contains_either(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+def contains_either(left: DataFrame, right: DataFrame, a: str, b: str, gram: int = 4) -> DataFrame:
     """Pairs in which either value contains the other; equal values once."""
-    return contains_pairs(left, right, a, b).unionByName(contains_pairs(right, left, b, a).where(F.lower(F.col(a)) != F.lower(F.col(b))))
+    (l, l_sizes), (r, r_sizes) = _sized(left, a, gram), _sized(right, b, gram)
+    back = _contained(r, l, l_sizes, b, a, gram).where(F.lower(F.col(a)) != F.lower(F.col(b)))
+    return _contained(l, r, r_sizes, a, b, gram).unionByName(back)
 
 
 def align(doc_names: DataFrame, code_names: DataFrame, doc: str, code: str) -> DataFrame:
