@@ -33,35 +33,37 @@ def _sized(df: DataFrame, name: str, gram: int) -> tuple[DataFrame, list[int]]:
     return named, [k for k in range(1, gram + 1) if seen.get[f"k{k}"]]
 
 
-def _contained(texts: DataFrame, named: DataFrame, sizes: list[int], text: str, name: str, gram: int) -> DataFrame:
+def _contained(texts: DataFrame, named: DataFrame, sizes: list[int], text: str, name: str, gram: int, within: list[str]) -> DataFrame:
     low, size = F.lower(F.col(name)), F.least(F.length(name), F.lit(gram))
     digest = F.md5(F.lower(F.col(text)))
     grams = [F.when(F.length(text) >= k, _grams(F.lower(F.col(text)), k)).otherwise(F.array().cast("array<string>")) for k in sizes or [1]]
-    cut = texts.select(digest.alias("__text"), F.explode(F.flatten(F.array(*grams))).alias("__gram"))
-    own = named.select(name, F.explode(_grams(low, size)).alias("__gram"))
-    counts = cut.join(own.select("__gram"), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    cut = texts.select(*within, digest.alias("__text"), F.explode(F.flatten(F.array(*grams))).alias("__gram"))
+    own = named.select(*within, name, F.explode(_grams(low, size)).alias("__gram"))
+    met = [*within, "__gram"]
+    counts = cut.join(own.select(*met), met, "left_semi").groupBy(*met).agg(F.count("*").alias("__n"))
     # A name with an n-gram that no text holds is in none.
-    rarest = own.join(counts, "__gram", "left").groupBy(name).agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"), F.count_if(F.col("__n").isNull()).alias("__none"))
-    near = cut.join(rarest.where("__none = 0"), "__gram").select("__text", name).distinct()
-    found = texts.withColumn("__text", digest).join(near, "__text").where(F.contains(F.lower(F.col(text)), low)).drop("__text")
-    return found if named.columns == [name] else found.join(named, name)
+    rarest = own.join(counts, met, "left").groupBy(*within, name).agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"), F.count_if(F.col("__n").isNull()).alias("__none"))
+    near = cut.join(rarest.where("__none = 0"), met).select(*within, "__text", name).distinct()
+    found = texts.withColumn("__text", digest).join(near, [*within, "__text"]).where(F.contains(F.lower(F.col(text)), low)).drop("__text")
+    return found if set(named.columns) == {*within, name} else found.join(named, [*within, name])
 
 
-def contains_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 4) -> DataFrame:
+def contains_pairs(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 4, within: tuple[str, ...] = ()) -> DataFrame:
     """Pairs in which the text contains the name, compared in lower case. A name meets the texts that hold its rarest
-    n-gram; names shorter than that meet texts by an n-gram of their own length. Each pair comes once.
+    n-gram; names shorter than that meet texts by an n-gram of their own length. Each pair comes once. With columns
+    `within`, which both sides have, only rows that agree in them meet.
 
     Texts are cut into (digest, n-gram) rows, so what is exchanged grows with their length; whole texts are joined to
     the candidate names once, and compared there. Only n-gram lengths that names have (at most `gram`) are cut."""
     named, sizes = _sized(names, name, gram)
-    return _contained(texts, named, sizes, text, name, gram)
+    return _contained(texts, named, sizes, text, name, gram, list(within))
 
 
-def contains_either(left: DataFrame, right: DataFrame, a: str, b: str, gram: int = 4) -> DataFrame:
+def contains_either(left: DataFrame, right: DataFrame, a: str, b: str, gram: int = 4, within: tuple[str, ...] = ()) -> DataFrame:
     """Pairs in which either value contains the other; equal values once."""
     (l, l_sizes), (r, r_sizes) = _sized(left, a, gram), _sized(right, b, gram)
-    back = _contained(r, l, l_sizes, b, a, gram).where(F.lower(F.col(a)) != F.lower(F.col(b)))
-    return _contained(l, r, r_sizes, a, b, gram).unionByName(back)
+    back = _contained(r, l, l_sizes, b, a, gram, list(within)).where(F.lower(F.col(a)) != F.lower(F.col(b)))
+    return _contained(l, r, r_sizes, a, b, gram, list(within)).unionByName(back)
 
 
 def align(doc_names: DataFrame, code_names: DataFrame, doc: str, code: str) -> DataFrame:
