@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import tokens
 from quarry.operators.durable import saved
-from quarry.operators.relational import unique_by
+from quarry.operators.relational import top_k, unique_by
 
 
 def prefixes(path: Column, sep: str) -> Column:
@@ -76,11 +76,75 @@ def align(doc_names: DataFrame, code_names: DataFrame, doc: str, code: str) -> D
     return label(matched, "matched").union(label(doc_only, "doc_only")).union(label(code_only, "code_only"))
 
 
-def token_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str) -> DataFrame:
-    """(left key, right key, common tokens) of pairs that share a token, by an inverted index."""
-    l_tokens = left.select(left_key, F.explode(tokens(left_text)).alias("token"))
-    r_tokens = right.select(right_key, F.explode(tokens(right_text)).alias("token"))
-    return l_tokens.join(r_tokens, "token").groupBy(left_key, right_key).agg(F.count("*").alias("overlap"))
+def best_matches(left: DataFrame, right: DataFrame, k: int, hot: int = 128) -> DataFrame:
+    """(left_id, right_id, ord, score): the k best rows of right for each of left by the summed weights of the features that
+    they share; ties by ord. left(left_id, feature), right(right_id, ord, feature, weight); weight belongs to the feature.
+
+    Features of at most `hot` right rows give pairs by an inverted index, at most `hot` for each left row and feature.
+    The others give none: rows are classed by the set of hot features that they have. Of right rows with equal sets only
+    the first k can be among the best by those features alone, so each class of left rows gets the k best of them, and a
+    left row that many. Whatever else is among a row's best shares a feature that is not hot; all candidates get their
+    whole score. A feature that most rows have therefore costs rows, not pairs."""
+    right = saved(right.where("feature IS NOT NULL").distinct(), "match-right")
+    known = saved(right.groupBy("feature").agg(F.count("*").alias("held"), F.max("weight").alias("weight")), "match-features")
+    left = saved(left.where("feature IS NOT NULL").distinct().join(known, "feature"), "match-left")
+    cold = left.where(F.col("held") <= hot).select("left_id", "feature", "weight").join(right.select("right_id", "ord", "feature"), "feature")
+    pairs = cold.groupBy("left_id", "right_id", "ord").agg(F.sum("weight").alias("cold"))
+    most = known.where(F.col("held") > hot).select("feature", "weight")
+    listed = F.array_sort(F.collect_list(F.struct("feature", "weight")))
+    l_hot = saved(left.where(F.col("held") > hot).groupBy("left_id").agg(listed.alias("l_hot")), "match-left-hot")
+    r_hot = saved(right.select("right_id", "ord", "feature").join(most, "feature").groupBy("right_id", "ord").agg(listed.alias("r_hot")), "match-right-hot")
+    firsts = top_k(r_hot, ["r_hot"], ["ord", "right_id"], k)
+    l_class, r_class = l_hot.select("l_hot").distinct(), firsts.select("r_hot").distinct()
+    shared = l_class.select("l_hot", F.explode("l_hot").alias("item")).join(r_class.select("r_hot", F.explode("r_hot").alias("item")), "item")
+    by_class = shared.groupBy("l_hot", "r_hot").agg(F.sum("item.weight").alias("by_hot")).join(firsts, "r_hot")
+    few = top_k(by_class, ["l_hot"], [F.desc("by_hot"), "ord", "right_id"], k).select("l_hot", "right_id", "ord")
+    added = l_hot.join(few, "l_hot").select("left_id", "right_id", "ord", F.lit(0).cast("long").alias("cold"))
+    candidates = pairs.unionByName(added).groupBy("left_id", "right_id", "ord").agg(F.max("cold").alias("cold"))
+    both = candidates.join(l_hot, "left_id", "left").join(r_hot.drop("ord"), "right_id", "left")
+    more = F.aggregate(F.array_intersect("l_hot", "r_hot"), F.lit(0).cast("long"), lambda n, x: n + x["weight"])
+    scored = both.withColumn("score", F.col("cold") + F.coalesce(more, F.lit(0).cast("long"))).where("score > 0")
+    return top_k(scored, ["left_id"], [F.desc("score"), "ord", "right_id"], k).select("left_id", "right_id", "ord", "score")
+
+
+#: Weights of what speaks for an operation: common tokens with the service and the operation, the service's
+#: stem among the tokens, the operation's name in the trigger, the stem in the target, a call of the service.
+MATCH_WEIGHTS = {"service": 2, "operation": 3, "stem": 4, "trigger": 5, "target": 3, "call": 8}
+
+
+def match_services(entries: DataFrame, operations: DataFrame, calls: DataFrame, impls: DataFrame, k: int = 2, hot: int = 128) -> DataFrame:
+    """(entry_id, service, operation, ord, score): the k best operations of each entry.
+
+    entries(entry_id, name, trigger, target, notes), operations(service, service_purpose, operation, purpose, input, ord)
+    with ord unique, calls(caller, callee) of types, impls(service, impl). All that speaks for an operation is a feature
+    that both sides have, so that names and callees, like tokens, may be shared by any number of rows. Empty names and
+    stems speak for nothing."""
+    text = lambda *cs: F.concat_ws(" ", *cs)
+    has = lambda kind, x: F.concat(F.lit(kind + ":"), x)
+    stem = F.regexp_replace(F.coalesce("service", F.lit("")), "Service$", "")
+    ops = saved(operations.withColumns({"stem": stem, "low": F.lower(stem)}), "match-operations")
+    words = F.array(*(
+        F.struct(kind.alias("kind"), found.alias("found")) for kind, found in (
+            (F.lit("service"), tokens(text("service", "service_purpose"))), (F.lit("operation"), tokens(text("operation", "purpose", "input"))), (F.lit("stem"), F.array("low")),
+            (F.lit("trigger"), F.array(F.nullif(F.lower("operation"), F.lit("")))), (F.lit("target"), F.array(F.nullif("low", F.lit("")))), (F.lit("call"), F.array("service")),
+        )
+    ))
+    weight = F.create_map(*(F.lit(x) for kind, n in MATCH_WEIGHTS.items() for x in (kind, n)))
+    right = ops.select(F.col("ord").alias("right_id"), "ord", F.inline(words)).select("right_id", "ord", "kind", F.explode("found").alias("found"))
+    has_kind = F.concat_ws(":", "kind", "found")
+    right = right.where("found IS NOT NULL").select("right_id", "ord", has_kind.alias("feature"), weight[F.col("kind")].cast("long").alias("weight"))
+
+    said = entries.select("entry_id", F.explode(tokens(text("name", "trigger", "target", "notes"))).alias("t")).select("entry_id", F.explode(F.array(*(has(kind, F.col("t")) for kind in ("service", "operation", "stem")))).alias("feature"))
+    triggers = contains_pairs(entries.select("entry_id", F.lower("trigger").alias("said")), ops.select(F.lower("operation").alias("low")).where("low <> ''").distinct(), "said", "low")
+    targets = contains_pairs(entries.select("entry_id", F.lower("target").alias("said")), ops.select("low").where("low <> ''").distinct(), "said", "low")
+    services, callees = ops.select("service", "stem").where("service IS NOT NULL").distinct(), calls.select("callee").where("callee <> ''").distinct()
+    holds_callee = contains_pairs(services.select("service"), callees, "service", "callee").where(F.contains("service", F.col("callee"))).select("service", "callee")
+    holds_stem = contains_pairs(callees, services.where("stem <> ''"), "callee", "stem").where(F.contains("callee", F.col("stem"))).select("service", "callee")
+    called = holds_callee.union(holds_stem).union(impls.select("service", F.col("impl").alias("callee"))).distinct()
+    by_call = entries.join(calls, F.col("target") == F.col("caller")).select("entry_id", "callee").distinct().join(called, "callee").select("entry_id", has("call", F.col("service")).alias("feature"))
+    left = said.union(triggers.select("entry_id", has("trigger", F.col("low")))).union(targets.select("entry_id", has("target", F.col("low")))).union(by_call)
+    best = best_matches(left.withColumnRenamed("entry_id", "left_id"), right, k, hot)
+    return best.select(F.col("left_id").alias("entry_id"), "ord", "score").join(ops.select("ord", "service", "operation"), "ord").select("entry_id", "service", "operation", "ord", "score")
 
 
 def resolve_name(refs: DataFrame, nodes: DataFrame, ref: str, name: str, order: list, ref_keys: list[str], suffix: str = "service") -> DataFrame:

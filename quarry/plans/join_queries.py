@@ -78,15 +78,32 @@ def _(s, d):
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
 
 
-@query("j13_token_overlap", f"""
-WITH b AS (SELECT item_id, unnest({_TOKENS.format('text')}) AS t FROM benchmark), p AS (SELECT DISTINCT conv_id, t FROM (SELECT conv_id, unnest({_TOKENS.format('text')}) AS t FROM conversations WHERE turn = 0)),
-o AS (SELECT item_id, conv_id, 2 * count(*) + CASE WHEN conv_id % 10 = 0 THEN 4 ELSE 0 END AS score FROM b JOIN p USING (t) GROUP BY item_id, conv_id)
-SELECT item_id, conv_id, score FROM o QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id) <= 2""")
+ENTRIES = """
+SELECT item_id AS entry_id, text AS name, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS trigger,
+  upper(substr(split_part(text, ' ', 1), 1, 1)) || substr(split_part(text, ' ', 1), 2) || 'Controller' AS target, 'asked by a user' AS notes FROM benchmark"""
+OPERATIONS = """
+SELECT upper(substr(w1, 1, 1)) || substr(w1, 2) || 'Service' AS service, role || ' turns' AS service_purpose, w2 AS operation, text AS purpose, CAST(NULL AS STRING) AS input, conv_id * 1000 + turn AS ord
+FROM (SELECT *, split_part(coalesce(text, ''), ' ', 1) AS w1, split_part(coalesce(text, ''), ' ', 2) AS w2 FROM conversations) c"""
+CALLS = """
+SELECT DISTINCT upper(substr(split_part(text, ' ', 1), 1, 1)) || substr(split_part(text, ' ', 1), 2) || 'Controller' AS caller,
+  upper(substr(split_part(text, ' ', 4), 1, 1)) || substr(split_part(text, ' ', 4), 2) || 'ServiceImpl' AS callee FROM benchmark"""
+IMPLS = """
+SELECT DISTINCT upper(substr(w1, 1, 1)) || substr(w1, 2) || 'Service' AS service, upper(substr(w2, 1, 1)) || substr(w2, 2) || 'ServiceImpl' AS impl
+FROM (SELECT conv_id, split_part(coalesce(text, ''), ' ', 1) AS w1, split_part(coalesce(text, ''), ' ', 3) AS w2 FROM conversations) c WHERE conv_id % 2 = 0"""
+
+
+@query("j13_match_services", f"""
+WITH e AS (SELECT *, {_TOKENS.format("name || ' ' || trigger || ' ' || target || ' ' || notes")} AS et FROM ({ENTRIES})),
+o AS (SELECT *, regexp_replace(service, 'Service$', '') AS stem, {_TOKENS.format("service || ' ' || service_purpose")} AS st, {_TOKENS.format("operation || ' ' || coalesce(purpose, '')")} AS ot FROM ({OPERATIONS})),
+ec AS (SELECT entry_id, list(DISTINCT callee) AS callees FROM e JOIN ({CALLS}) c ON caller = target GROUP BY 1), im AS (SELECT service, list(impl) AS impls FROM ({IMPLS}) GROUP BY 1),
+p AS (
+  SELECT e.entry_id, o.service, operation, ord, 2 * len(list_intersect(et, st)) + 3 * len(list_intersect(et, ot)) + CASE WHEN list_contains(et, lower(stem)) THEN 4 ELSE 0 END
+    + CASE WHEN operation <> '' AND contains(lower(trigger), lower(operation)) THEN 5 ELSE 0 END + CASE WHEN stem <> '' AND contains(lower(target), lower(stem)) THEN 3 ELSE 0 END
+    + CASE WHEN len(list_filter(coalesce(callees, []), lambda c: contains(o.service, c) OR (stem <> '' AND contains(c, stem)) OR list_contains(coalesce(impls, []), c))) > 0 THEN 8 ELSE 0 END AS score
+  FROM e CROSS JOIN o LEFT JOIN ec ON ec.entry_id = e.entry_id LEFT JOIN im ON im.service = o.service)
+SELECT entry_id, service, operation, ord, CAST(score AS BIGINT) AS score FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, ord) <= 2""")
 def _(s, d):
-    items, talks = table(s, d, "benchmark").select("item_id", "text"), table(s, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("said"))
-    pairs = L.token_overlap(items, talks, "item_id", "conv_id", "text", "said")
-    scored = pairs.withColumn("score", 2 * F.col("overlap") + F.when(F.col("conv_id") % 10 == 0, 4).otherwise(0))
-    return R.top_k(scored, ["item_id"], [F.desc("score"), "conv_id"], 2).select("item_id", "conv_id", "score")
+    return L.match_services(*(derive(s, d, sql) for sql in (ENTRIES, OPERATIONS, CALLS, IMPLS)))
 
 
 @query("j14_cascade_match", """
