@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions.names import column_type, normalize_hint, sql_identifier, sql_type
+from quarry.operators.durable import saved
+from quarry.operators.linking import contains_pairs
 from quarry.operators.relational import unique_by
 
 
@@ -160,6 +164,46 @@ def infer_tables(explicit: DataFrame, hinted: DataFrame, texts: DataFrame, key:
     return some.union(bare)
 
 
+#: Words of a document that name a table of its domain.
+DOMAIN_TABLES = [
+    ("notes", r"\bnotes?\b"), ("users", r"\busers?\b|\baccounts?\b"), ("tasks", r"\btasks?\b|\bwork items?\b|\bjobs?\b"),
+    ("events", r"\bevents?\b|\bmessages?\b|\bnotifications?\b"), ("audit_log", r"\baudit\b"), ("attachments", r"\battachments?\b|\bfiles?\b|\bassets?\b|\bblobs?\b"),
+]
+#: Sections whose items may name the main table, in order; words of entity-like nodes; the last resort.
+MAIN_SECTIONS, ENTITY_WORDS, FALLBACK_TABLE = ("examples", "processes", "dependencies"), "(?i)persistence|repository|entity|table|database|store", "domain_record"
+
+
+def table_ladder(docs: DataFrame, explicit: DataFrame, hints: DataFrame, items: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, table_name, evidence): tables of each document, each once, with the evidence that stands first.
+
+    Documents with declared tables have no others. The rest have those of keywords, of hints that their text holds, of
+    dependencies, of entity-like graph nodes, and a main table, the first that examples, processes, dependencies, nodes,
+    the title or the text name; documents that no rung gave a table have the fallback. docs(key, title, text),
+    explicit(key, table_name), hints(hint), items(key, section, item_ord, item), nodes(key, type, name, ord)."""
+    declared = explicit.select(key, "table_name").where("table_name IS NOT NULL").distinct()
+    gate = declared.select(key).distinct()
+    free = lambda df: df.join(gate, key, "left_anti")
+    texts = saved(free(docs).select(key, F.lower("title").alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text")), "ladder")
+    free_items, free_nodes = (free(x.join(docs.select(key).distinct(), key, "left_semi")) for x in (items, nodes))
+    words = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(t)) for t, p in DOMAIN_TABLES)), lambda x: x.isNotNull())
+    names = hints.select(normalize_hint("hint").alias("table_name")).where("table_name IS NOT NULL").distinct().withColumn("said", F.replace("table_name", F.lit("_"), F.lit(" ")))
+    hinted = contains_pairs(texts.select(key, "text"), names, "text", "said").select(key, "table_name")
+    entity = free_nodes.where(F.coalesce(F.col("type").rlike(ENTITY_WORDS), F.lit(False)) | F.coalesce(F.col("name").rlike(ENTITY_WORDS), F.lit(False)))
+    sections = F.create_map(*(F.lit(x) for k, s in enumerate(MAIN_SECTIONS) for x in (s, k)))
+    said = free_items.select(key, F.try_element_at(sections, F.col("section")).alias("rank"), F.col("item_ord").cast("long").alias("ord"), F.col("item").alias("said")).where("rank IS NOT NULL")
+    said = said.union(free_nodes.select(key, F.lit(3), F.col("ord").cast("long"), "name")).union(texts.select(key, F.lit(4), F.lit(0).cast("long"), "title")).union(texts.select(key, F.lit(5), F.lit(0).cast("long"), "text"))
+    named = said.withColumn("table_name", table_from_text(F.col("said"))).where("table_name IS NOT NULL")
+    main = named.groupBy(key).agg(F.min_by("table_name", F.struct("rank", "ord", "table_name")).alias("table_name"))
+    rungs = [
+        ("explicit", declared), ("keyword", texts.select(key, F.explode(words).alias("table_name"))), ("hint", hinted), ("dependency", free_items.where("section = 'dependencies'").select(key, table_from_text(F.col("item")).alias("table_name"))),
+        ("graph", entity.select(key, F.coalesce(table_from_text(F.col("name")), normalize_hint("name")).alias("table_name"))), ("main", main),
+    ]
+    rows = [df.select(key, "table_name", F.lit(k).alias("rank"), F.lit(name).alias("evidence")) for k, (name, df) in enumerate(rungs)]
+    found = saved(reduce(DataFrame.union, rows).where("table_name IS NOT NULL AND table_name <> ''").groupBy(key, "table_name").agg(F.min_by("evidence", "rank").alias("evidence")), "ladder-tables")
+    bare = docs.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
+    return found.union(bare.select(key, F.lit(FALLBACK_TABLE), F.lit("fallback")))
+
+
 def relationships(columns: DataFrame, tables: DataFrame, explicit: DataFrame) -> DataFrame:
     """Inferred foreign keys, and declared ones that are not among them."""
     inferred = infer_fks(columns, tables).select("from_table", "from_column", "to_table", F.lit("id").alias("to_column"))
