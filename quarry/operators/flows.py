@@ -61,7 +61,7 @@ def semantic_flows(clusters: DataFrame, traces: DataFrame, group: str, kind: Col
 
 def broken_edges(steps: DataFrame, edges: DataFrame, key: str, node: str = "node") -> DataFrame:
     """Consecutive steps without an edge in either direction."""
-    pairs = step_pairs(steps, [key], ["step_ord"], node).select(key, F.col(node).alias("src"), F.col("next_node").alias("dst"))
+    pairs = step_pairs(steps, [key], ["step_ord"], node, short=True).select(key, F.col(node).alias("src"), F.col("next_node").alias("dst"))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     return pairs.join(both, ["src", "dst"], "left_anti").select(key, "src", "dst")
 

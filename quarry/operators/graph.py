@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import slugify
 from quarry.operators.durable import saved
-from quarry.operators.relational import ordinals, unique_by
+from quarry.operators.relational import ordinals, ranks, unique_by
 
 
 def match_edge(nodes: DataFrame, edges: DataFrame, src_label: str, kind: str, dst_label: str) -> DataFrame:
@@ -66,7 +66,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def node_ids(items: DataFrame, keys: list[str], kind: Column, name: str, order: list) -> DataFrame:
     """id = kind.slug(name).n with n the place of the item within its kind."""
-    placed = ordinals(items.withColumn("__kind", kind), [*keys, "__kind"], order, "__n")
+    placed = ranks(items.withColumn("__kind", kind), [*keys, "__kind"], order, "__n")
     return placed.withColumn("id", F.concat_ws(".", "__kind", slugify(name), F.col("__n").cast("string"))).drop("__kind", "__n")
 
 

@@ -34,24 +34,6 @@ def latest(df: DataFrame, keys: list[str], at: str, tie: str | None = None) -> D
     return df.groupBy(*keys).agg(row).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest))
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: Order, column: str, out: str) -> DataFrame:
-    """Last value that was not null, up to and with the row."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(column, ignorenulls=True).over(w))
-
-
-def look_ahead(df: DataFrame, keys: list[str], order: Order, column: str, n: int, out: str) -> DataFrame:
-    """First value that is not null in the next n rows."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(1, n)
-    return df.withColumn(out, F.first(column, ignorenulls=True).over(w))
-
-
-def nearby(df: DataFrame, keys: list[str], order: Order, column: str, n: int, out: str) -> DataFrame:
-    """First value that is not null from n rows before to n rows after."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(-n, n)
-    return df.withColumn(out, F.first(column, ignorenulls=True).over(w))
-
-
 def ordinals(df: DataFrame, keys: list[str], order: Order, out: str = "ord") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))))
 
@@ -73,6 +55,62 @@ def ranks(df: DataFrame, keys: list[str], order: Order, out: str) -> DataFrame:
     return placed.join(runs, same).select(*df.columns, (F.col("__at") + F.col("__shift")).alias(out))
 
 
+#: Rows of one key that a task scans at once.
+BLOCK = 1 << 16
+
+
+def _equal(keys: list[str]) -> Column:
+    """Null-safe equality of keys with their renamed copies."""
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return out
+
+
+def _renamed(keys: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+
+
+def _blocks(df: DataFrame, keys: list[str], order: Order, block: int) -> DataFrame:
+    """Rows with their rank in the key and the block of ranks that they lie in."""
+    return ranks(df, keys, order, "__rank").withColumn("__block", F.floor((F.col("__rank") - 1) / block))
+
+
+def _with_neighbours(df: DataFrame, keys: list[str], order: Order, n: int, block: int) -> DataFrame:
+    """Blocks of ranks with up to n rows of the blocks beside them; those rows are not __own."""
+    rows = _blocks(df, keys, order, max(block, n))
+    place = (F.col("__rank") - 1) % max(block, n)
+    held = F.array(F.lit(0), F.when(place < n, F.lit(-1)), F.when(place >= max(block, n) - n, F.lit(1)))
+    out = rows.withColumn("__to", F.explode(F.filter(held, lambda x: x.isNotNull())))
+    return out.withColumns({"__own": F.col("__to") == 0, "__block": F.col("__block") + F.col("__to")})
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: Order, column: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Last value that was not null, up to and with the row. A key of any size is scanned in blocks; what a block
+    leaves is carried over the blocks of its key, one row each."""
+    rows = saved(_blocks(df, keys, order, block), "blocks")
+    scan = Window.partitionBy(*keys, "__block").orderBy("__rank").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = rows.groupBy(*keys, "__block").agg(F.max_by(F.when(F.col(column).isNotNull(), F.col(column)), F.when(F.col(column).isNotNull(), F.col("__rank"))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = lasts.select(*_renamed(keys), F.col("__block").alias("__b"), before.alias("__before"))
+    return rows.join(carried, _equal(keys) & (F.col("__block") == F.col("__b"))).select(*df.columns, F.coalesce(F.last(column, ignorenulls=True).over(scan), F.col("__before")).alias(out))
+
+
+def _framed(df: DataFrame, keys: list[str], order: Order, column: Column, n: int, frame: tuple[int, int], out: str, block: int) -> DataFrame:
+    w = Window.partitionBy(*keys, "__block").orderBy("__rank").rowsBetween(*frame)
+    return _with_neighbours(df, keys, order, n, block).withColumn(out, column.over(w)).where("__own").select(*df.columns, out)
+
+
+def look_ahead(df: DataFrame, keys: list[str], order: Order, column: str, n: int, out: str, block: int = BLOCK) -> DataFrame:
+    """First value that is not null in the next n rows. Keys are scanned in blocks that overlap by n rows."""
+    return _framed(df, keys, order, F.first(column, ignorenulls=True), n, (1, n), out, block)
+
+
+def nearby(df: DataFrame, keys: list[str], order: Order, column: str, n: int, out: str, block: int = BLOCK) -> DataFrame:
+    """First value that is not null from n rows before to n rows after."""
+    return _framed(df, keys, order, F.first(column, ignorenulls=True), n, (-n, n), out, block)
+
+
 def sequence_ids(df: DataFrame, prefix: Column, order: Order, out: str = "seq_id") -> DataFrame:
     """prefix, then prefix-2, prefix-3 within equal prefixes."""
     placed = ranks(df.withColumn("__prefix", prefix), ["__prefix"], order, "__place")
@@ -101,10 +139,14 @@ def pack(df: DataFrame, keys: list[str], order: Order, length: str, cap: int, se
     return df.withColumn("packed_length", total).where(F.col("packed_length") <= cap)
 
 
-def step_pairs(df: DataFrame, keys: list[str], order: Order, node: str) -> DataFrame:
-    """(node, next_node) of each path."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order))
-    return df.withColumn("next_node", F.lead(node).over(w)).where("next_node IS NOT NULL")
+def step_pairs(df: DataFrame, keys: list[str], order: Order, node: str, short: bool = False, block: int = BLOCK) -> DataFrame:
+    """(node, next_node) of each path. Paths are scanned in blocks that overlap by a row; short paths, of a bounded
+    number of rows, in one window each."""
+    if short:
+        paired = df.withColumn("next_node", F.lead(node).over(Window.partitionBy(*keys).orderBy(*_cols(order))))
+    else:
+        paired = _framed(df, keys, order, F.first(node), 1, (1, 1), "next_node", block)
+    return paired.where("next_node IS NOT NULL")
 
 
 def priority_union(parts: list[DataFrame], keys: list[str], order: Order) -> DataFrame:
@@ -117,13 +159,13 @@ def priority_union(parts: list[DataFrame], keys: list[str], order: Order) -> Dat
 
 
 def round_robin(left: DataFrame, right: DataFrame, left_order: Order, right_order: Order, group: str, shift: int = 0) -> DataFrame:
-    """In each group the i-th left row meets the (i + shift mod n)-th right row."""
-    sized = right.withColumn("__n", F.count("*").over(Window.partitionBy(group)))
-    sized = sized.withColumn("__at", F.row_number().over(Window.partitionBy(group).orderBy(*_cols(right_order))) - 1)
-    own = left.withColumn("__i", F.row_number().over(Window.partitionBy(group).orderBy(*_cols(left_order))) - 1)
-    sizes = sized.select(group, "__n").distinct()
-    asked = own.join(sizes, group).withColumn("__at", F.pmod(F.col("__i") + shift, F.col("__n"))).drop("__n", "__i")
-    return asked.join(sized.drop("__n"), [group, "__at"]).drop("__at")
+    """In each group the i-th left row meets the (i + shift mod n)-th right row. Places are ranks, and rows meet by group
+    and place, so a group of any size lies in several tasks."""
+    placed = saved(ranks(right, [group], right_order, "__at").withColumn("__at", F.col("__at") - 1), "turns")
+    sizes = placed.groupBy(group).agg(F.max("__at").alias("__n"))
+    own = ranks(left, [group], left_order, "__i")
+    asked = own.join(sizes, group).withColumn("__at", F.pmod(F.col("__i") - 1 + shift, F.col("__n") + 1)).drop("__n", "__i")
+    return asked.join(placed, [group, "__at"]).drop("__at")
 
 
 def merge_evidence(base: DataFrame, incoming: DataFrame, key: str, scalars: list[str], flags: list[str], arrays: list[str]) -> DataFrame:

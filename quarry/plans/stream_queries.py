@@ -12,7 +12,8 @@ from quarry.operators.durable import shared_dir
 from quarry.plans.inputs import SOURCES, derive, table
 from quarry.plans.registry import query
 from quarry.sources import corpus
-from quarry.streaming import deltas
+from quarry.streaming import deltas, keyed
+from quarry.streaming.sinks import EpochTable
 
 
 def _folder(s: SparkSession) -> str:
@@ -20,15 +21,18 @@ def _folder(s: SparkSession) -> str:
     return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
 
 
-def _drained(s: SparkSession, stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Runs a stream over what is available; the last whole result (complete mode) or all rows (append mode)."""
-    path = f"{folder}/out"
-
-    def keep(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
-
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(stream.schema).parquet(path)
+def _drained(s: SparkSession, stream: DataFrame, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is available, in update mode where there are keys, and reads the table that it wrote.
+    State that expires asks for one more batch for ever, so batches without data are off for a stream that is to end."""
+    out, name = EpochTable(f"{folder}/out", keys), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = s.conf.get(name)
+    s.conf.set(name, "false")
+    try:
+        run = stream.writeStream.outputMode("update" if keys else "append").foreachBatch(out.write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        s.conf.set(name, before)
+    run.awaitTermination()
+    return out.read(s, stream.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
 
 
 def _delta_log(s: SparkSession, d: str, folder: str) -> str:
@@ -41,13 +45,13 @@ def _delta_log(s: SparkSession, d: str, folder: str) -> str:
 @query("t1_delta_log", "SELECT 'u' || CAST(user_id AS VARCHAR) AS server, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
 def _(s: SparkSession, d: str) -> DataFrame:
     folder = _folder(s)
-    return _drained(s, deltas.stream_deltas(s, _delta_log(s, d, folder)), folder, "append").groupBy("server", "kind").agg(F.count("*").alias("n"))
+    return _drained(s, deltas.stream_deltas(s, _delta_log(s, d, folder)), folder).groupBy("server", "kind").agg(F.count("*").alias("n"))
 
 
 @query("t2_latest_deltas", "SELECT 'u' || CAST(user_id AS VARCHAR) AS server, arg_max(CAST(event_id AS VARCHAR), ts) AS summary FROM events GROUP BY 1")
 def _(s, d):
     folder = _folder(s)
-    return _drained(s, deltas.latest_deltas(deltas.stream_deltas(s, _delta_log(s, d, folder))), folder, "complete").select("server", "summary")
+    return _drained(s, keyed.latest_records(deltas.stream_deltas(s, _delta_log(s, d, folder))), folder, ["server"]).select("server", "summary")
 
 
 @query("t3_event_lines", "SELECT event_type AS phase, count(*) AS n FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
@@ -57,7 +61,7 @@ def _(s, d):
     good = F.to_json(F.struct(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("phase")))
     e.select(F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(good).alias("value")).repartition(4).write.text(f"{folder}/lines")
     stream = deltas.stream_lines(s, f"{folder}/lines", "run_id string, phase string")
-    return _drained(s, stream, folder, "append").groupBy("phase").agg(F.count("*").alias("n"))
+    return _drained(s, stream, folder).groupBy("phase").agg(F.count("*").alias("n"))
 
 
 @query("t4_run_events", "SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'view') AS n_heartbeats, arg_max(event_type, ts) AS phase FROM events GROUP BY 1")
@@ -66,14 +70,14 @@ def _(s, d):
     e = table(s, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").alias("at"), F.col("event_type").alias("phase"), (F.col("event_type") == "view").alias("heartbeat"))
     e.repartition(8, "run_id").write.json(f"{folder}/log")
     stream = s.readStream.schema(deltas.EVENT).json(f"{folder}/log")
-    return _drained(s, deltas.run_events(stream), folder, "complete").select("run_id", "n_events", "n_heartbeats", "phase")
+    return _drained(s, keyed.run_progress(stream), folder, ["run_id"]).select("run_id", "n_events", "n_heartbeats", "phase")
 
 
 @query("t5_dedup_deltas", "SELECT DISTINCT 'd' || CAST(event_id - event_id % 2 AS VARCHAR) AS id FROM events")
 def _(s, d):
     folder = _folder(s)
-    stream = deltas.dedup_deltas(deltas.stream_deltas(s, _delta_log(s, d, folder), files_per_trigger=1000), "3650 days")
-    return _drained(s, stream, folder, "append").select("id")
+    stream = keyed.first_records(deltas.stream_deltas(s, _delta_log(s, d, folder)))
+    return _drained(s, stream, folder, ["id"]).select("id")
 
 
 def _source_files(s: SparkSession, d: str) -> DataFrame:
