@@ -28,7 +28,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, table
+from quarry.llm.common import partitions_for, stored, table
 
 SHARDS, ROUNDS = 8, 16
 #: Rank buckets per shard and class; ranks are taken within a bucket.
@@ -136,6 +136,8 @@ def balanced_shards(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUN
     linked = F.col("n").isNotNull()
     plain = nodes.join(dealt, _KEY, "left").where("cells IS NULL OR cells = 1").withColumn("label", F.when(linked, at(F.lit(0))).otherwise(first))
     cut = nodes.join(dealt.where("cells > 1"), _KEY).withColumn("deal", F.pmod(F.xxhash64("d_hash", F.lit(3)), F.lit(RANK_BUCKETS)))
+    # Dealt out by (group, deal) before the windows: after a join by group, a cut group would lie in one task.
+    cut = cut.repartition(partitions_for(docs.sparkSession), *_KEY, "deal")
     ahead = cut.groupBy(*_KEY, "deal").agg(F.count("*").alias("rows"))
     ahead = ahead.select(*_KEY, "deal", (F.sum("rows").over(Window.partitionBy(*_KEY).orderBy("deal")) - F.col("rows")).alias("ahead"))
     within = F.row_number().over(Window.partitionBy(*_KEY, "deal").orderBy("d_hash", "doc_id")) - 1

@@ -34,7 +34,8 @@ RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
 VOCABULARY = 50_000
-LONGEST_WORD = 24
+#: Letters of the longest word: a label of a host has no more, so no longer word is in one.
+LONGEST_WORD = 63
 #: Copies of a host's rarer words, so that the rows of one host spread over tasks.
 SALTS = 32
 #: Rows of parts of hosts in one Arrow batch.

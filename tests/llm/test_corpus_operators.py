@@ -565,6 +565,27 @@ def test_pages_of_the_sample_give_their_articles():
         assert " ".join(html_text.main_text(page).split()) == want
 
 
+def test_ratios_of_pages_without_names(monkeypatch):
+    """In the sample's pages without telling tags, classes and ids, the ratios alone find the articles: with all else as it
+    is, constant or random ratios give other text. (With names, the sample's articles are told by these.)"""
+    import html as references
+
+    import pyarrow.parquet as pq
+
+    pages, wants = [], []
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        article = page[page.index("<article>") : page.index("</article>")]
+        wants.append(Counter(references.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", article).replace("<b>", "").replace("</b>", "")).split()))
+        pages.append(re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|aside|footer|header|main|section|form)\b", r"<\1div", page)))
+    found = [html_text.main_text(p) for p in pages]
+    hit = sum((Counter(f.split()) & w).total() for f, w in zip(found, wants, strict=True))
+    assert hit >= 0.95 * sum(len(f.split()) for f in found) and hit >= 0.99 * sum(w.total() for w in wants)
+    gen = np.random.RandomState(0)
+    for ratios in (lambda n: np.ones(n), lambda n: 10 ** gen.uniform(-2, 2, n)):
+        monkeypatch.setattr(html_text, "content_scores", lambda blocks, ratios=ratios: ratios(len(blocks)) * html_text._weights(blocks))
+        assert sum(html_text.main_text(p) != f for p, f in zip(pages, found, strict=True)) >= 240
+
+
 def test_long_and_empty_pages(spark):
     long = "<article>" + f"<p>{_TEXT}</p>" * 3000 + "</article>"
     assert len(html_text.main_text(long)) == 3000 * len(_TEXT) - 1

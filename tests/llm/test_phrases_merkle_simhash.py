@@ -63,7 +63,7 @@ def phrase_texts(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize(("budget", "scan"), [(1 << 20, 1 << 20), (300, 700), (40, 90)])
+@pytest.mark.parametrize(("budget", "scan"), [(1 << 20, 1 << 20), (40, 90)])
 def test_phrases(spark, budget, scan):
     texts = phrase_texts(budget)
     docs = docs_of(spark, texts).repartition(3)
@@ -149,7 +149,7 @@ def plain_manifest(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n", [1, 8, 9, 64, 700, 2500])
+@pytest.mark.parametrize("n", [1, 9, 1100])
 def test_manifest(spark, n):
     gen = random.Random(n)
     texts = [gen.choice([None, "", "Text é", "TEXT", "plain", f"Row {k}"]) for k in range(n)]
@@ -215,7 +215,7 @@ def near_texts(seed, n=250):
     return out
 
 
-@pytest.mark.parametrize("meeting", [8192, 200, 20])
+@pytest.mark.parametrize("meeting", [8192, 20])
 def test_simhash(spark, meeting):
     texts = near_texts(meeting)
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs_of(spark, texts).repartition(3), meeting=meeting).collect()}
@@ -238,7 +238,7 @@ def dense(seed, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("meeting", "radius"), [(8192, 2), (400, 2), (60, 1), (17, 2), (17, 0)])
+@pytest.mark.parametrize(("meeting", "radius"), [(400, 2), (17, 2), (60, 1)])
 def test_links_of_crowded_tiles(spark, meeting, radius):
     prints = list(enumerate(dense(meeting, 900)))
     classes = spark.createDataFrame([(int(np.uint64(p).view(np.int64)), i) for i, p in prints], "print long, first long")
