@@ -76,6 +76,24 @@ def align(doc_names: DataFrame, code_names: DataFrame, doc: str, code: str) -> D
     return label(matched, "matched").union(label(doc_only, "doc_only")).union(label(code_only, "code_only"))
 
 
+#: Fixed value: how names of components end.
+COMPONENT_NAME = "(service|controller|repository|handler|manager)$"
+
+
+def align_components(doc_names: DataFrame, code_names: DataFrame, doc: str, code: str) -> DataFrame:
+    """(status, name) in lower case: documented names that code has (matched) or lacks (doc_only), and components of the
+    code that no document has (code_only). A code name counts as a whole where it holds a documented name, and up to its
+    first dot where a documented name holds it."""
+    docs = saved(doc_names.select(F.lower(doc).alias("doc_name")).where("doc_name <> ''").distinct(), "align-docs")
+    codes = saved(code_names.select(F.lower(code).alias("code_name")).where("code_name <> ''").distinct().withColumn("stem", F.regexp_replace("code_name", r"\..+$", "")), "align-codes")
+    whole = contains_pairs(codes.select("code_name"), docs, "code_name", "doc_name").select("doc_name", "code_name")
+    stems = contains_pairs(docs, codes.select("stem").where("stem <> ''").distinct(), "doc_name", "stem").join(codes, "stem").select("doc_name", "code_name")
+    pairs = saved(whole.union(stems).distinct(), "aligned")
+    label = lambda df, what, c: df.select(F.lit(what).alias("status"), F.col(c).alias("name")).distinct()
+    lone = codes.join(pairs.select("code_name"), "code_name", "left_anti").where(F.col("code_name").rlike(COMPONENT_NAME))
+    return label(pairs, "matched", "doc_name").union(label(docs.join(pairs.select("doc_name"), "doc_name", "left_anti"), "doc_only", "doc_name")).union(label(lone, "code_only", "code_name"))
+
+
 def best_matches(left: DataFrame, right: DataFrame, k: int, hot: int = 128) -> DataFrame:
     """(left_id, right_id, ord, score): the k best rows of right for each of left by the summed weights of the features that
     they share; ties by ord. left(left_id, feature), right(right_id, ord, feature, weight); weight belongs to the feature.

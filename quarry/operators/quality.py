@@ -59,9 +59,17 @@ LAYERING_RULES = [
 ]
 
 
-def hints(files: DataFrame, keys: list[str], text: str, kind: str) -> DataFrame:
+#: Integration hints that a file's path gives.
+PATH_HINTS = [Rule(h, p, "integration") for h, p in [("WebSocket", "(?i)websocket"), ("Redis", "(?i)redis"), ("Mail", "(?i)mail|smtp|ses"), ("Object storage", "(?i)minio|s3|object storage")]]
+
+
+def hints(files: DataFrame, keys: list[str], text: str, kind: str, path: str | None = None) -> DataFrame:
+    """(keys, hint) of rules that a file's text meets; integration hints also look at its path, where one is named."""
     rules = {"persistence": PERSISTENCE_HINTS, "security": SECURITY_HINTS, "integration": INTEGRATION_HINTS}[kind]
-    return apply_rules(files, keys, F.col(text), rules).select(*keys, F.col("rule_id").alias("hint"))
+    found = apply_rules(files, keys, F.col(text), rules).select(*keys, F.col("rule_id").alias("hint"))
+    if path is None or kind != "integration":
+        return found
+    return found.union(apply_rules(files, keys, F.coalesce(path, F.lit("")), PATH_HINTS).select(*keys, "rule_id")).distinct()
 
 
 def _issue(severity: str, code: str, ref: Column) -> list[Column]:

@@ -147,6 +147,20 @@ def _(s, d):
     return L.align(table(s, d, "part").select(F.col("p_name").alias("x")).distinct(), derive(s, d, _KINDS), "x", "needle")
 
 
+_CODE_NAMES = """
+SELECT replace(p_name, ' ', '') || CASE p_partkey % 5 WHEN 0 THEN 'Service' WHEN 1 THEN 'Manager' WHEN 2 THEN '.java' ELSE 'Helper' END AS code_name FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || CASE s_suppkey % 2 WHEN 0 THEN 'Controller' ELSE 'Tool' END FROM supplier UNION ALL SELECT n_name || '.x.y' FROM nation"""
+_DOC_NAMES = "SELECT replace(p_name, ' ', '') AS doc_name FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'the ' || n_name || ' page' FROM nation UNION ALL SELECT c_mktsegment FROM customer"
+
+
+@query("j17_align_components", f"""
+WITH a AS (SELECT DISTINCT lower(doc_name) AS x FROM ({_DOC_NAMES})), b AS (SELECT DISTINCT lower(code_name) AS y FROM ({_CODE_NAMES})), m AS (SELECT x, y FROM a, b WHERE contains(y, x) OR contains(x, split_part(y, '.', 1)))
+SELECT 'matched' AS status, x AS name FROM (SELECT DISTINCT x FROM m) UNION ALL SELECT 'doc_only', x FROM a WHERE x NOT IN (SELECT x FROM m)
+UNION ALL SELECT 'code_only', y FROM b WHERE y NOT IN (SELECT y FROM m) AND regexp_matches(y, '(service|controller|repository|handler|manager)$')""")
+def _(s, d):
+    return L.align_components(derive(s, d, _DOC_NAMES), derive(s, d, _CODE_NAMES), "doc_name", "code_name")
+
+
 @query("j20_broken_edges", f"""
 WITH p AS (SELECT trace_id, node AS src, lead(node) OVER (PARTITION BY trace_id ORDER BY step_ord) AS dst FROM ({STEPS})), e AS ({STEP_EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)
 SELECT trace_id, src, dst FROM p WHERE dst IS NOT NULL AND (src, dst) NOT IN (SELECT (src, dst) FROM b WHERE dst <> 'error')""")

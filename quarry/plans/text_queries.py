@@ -156,6 +156,17 @@ def _(s, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+_PATHS = f"SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'src/WebSocket/' WHEN 1 THEN 'src/redis/' WHEN 2 THEN 'src/email/' WHEN 3 THEN 'src/minio/' ELSE 'src/x/' END || CAST(p_partkey AS STRING) AS path, CASE WHEN p_partkey % 4 = 0 THEN ' via Redis' ELSE '' END AS more FROM ({SOURCES}) f"
+
+
+@query("p23_path_hints", f"""
+WITH f AS ({_PATHS}) SELECT file, '@KafkaListener' AS hint FROM f WHERE contains(text, '@KafkaListener') UNION SELECT file, 'WebSocket' FROM f WHERE contains(path, 'WebSocket') UNION SELECT file, 'Redis' FROM f WHERE contains(path, 'redis') OR more <> ''
+UNION SELECT file, 'Mail' FROM f WHERE contains(path, 'mail') UNION SELECT file, 'Object storage' FROM f WHERE contains(path, 'minio')""")
+def _(s, d):
+    f = derive(s, d, _PATHS).withColumn("said", F.concat("text", "more"))
+    return quality.hints(f, ["file"], "said", "integration", "path")
+
+
 @query("p24_source_facts", f"SELECT file, regexp_extract(text, 'package ([a-z0-9.]+);', 1) AS package, 'class' AS type_kind, regexp_extract(text, 'class ([A-Za-z0-9]+)', 1) AS type_name, 'java.util.List,com.shop.common.Money' AS imports, regexp_extract(text, '(load[0-9]+)', 1) || CASE WHEN contains(text, 'onPart') THEN ',onPart' ELSE '' END AS methods, 'OrderRepository' AS injected FROM ({SOURCES})")
 def _(s, d):
     out = T.source_facts(derive(s, d, SOURCES))
