@@ -76,6 +76,14 @@ def align(doc_names: DataFrame, code_names: DataFrame, doc: str, code: str) -> D
     return label(matched, "matched").union(label(doc_only, "doc_only")).union(label(code_only, "code_only"))
 
 
+def token_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str) -> DataFrame:
+    """(left key, right key, common tokens) of pairs that share a token, by an inverted index. A token that most rows
+    have gives all their pairs; best_matches has no such token."""
+    l_tokens = left.select(left_key, F.explode(tokens(left_text)).alias("token"))
+    r_tokens = right.select(right_key, F.explode(tokens(right_text)).alias("token"))
+    return l_tokens.join(r_tokens, "token").groupBy(left_key, right_key).agg(F.count("*").alias("overlap"))
+
+
 #: Fixed value: how names of components end.
 COMPONENT_NAME = "(service|controller|repository|handler|manager)$"
 
