@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ EVIDENCE = "array<struct<kind:string,ref:string,detail:string>>"
 CANDIDATE = f"struct<targetId:string,kind:string,title:string,summary:string,model:string,confidence:double,evidence:{EVIDENCE}>"
 ISSUE = "array<struct<severity:string,code:string,message:string,sourceRef:string>>"
 TABLE = "struct<name:string,description:string,primaryKey:array<string>,columns:array<struct<name:string,type:string,nullable:boolean>>>"
+RELATIONSHIP = "struct<fromTable:string,fromColumn:string,toTable:string,toColumn:string,cardinality:string,description:string>"
+#: What stands for a missing part of a relationship.
+RELATIONSHIP_DEFAULTS = {"fromTable": "source_table", "fromColumn": "source_column", "toTable": "target_table", "toColumn": "target_column", "cardinality": "N:1", "description": None}
 SEVERITIES = ["gap", "conflict", "warning", "violation", "info"]
 
 
@@ -53,6 +58,13 @@ def normalize_schema_json(df: DataFrame, column: str, keys: list[str]) -> DataFr
     return rows.select(*keys, "table_ord", "table_name", "primary_key", "column_ord", F.col("c.name").alias("column_name"), F.coalesce("c.type", F.lit("string")).alias("type"), F.coalesce("c.nullable", F.lit(True)).alias("nullable"))
 
 
+def normalize_relationships(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Relationships of a schema document, in order; missing and blank parts take their defaults. Rows without any give none."""
+    rows = df.select(*keys, F.posexplode(F.from_json(column, f"relationships array<{RELATIONSHIP}>")["relationships"]).alias("ord", "r")).where("r IS NOT NULL")
+    part = lambda f, default: F.coalesce(F.nullif(F.trim(f"r.{f}"), F.lit("")), F.lit(default).cast("string")).alias(re.sub("[A-Z]", lambda m: "_" + m[0].lower(), f))
+    return rows.select(*keys, "ord", *(part(f, d) for f, d in RELATIONSHIP_DEFAULTS.items()))
+
+
 def parse_candidates(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Candidates of an array or of {candidates: [...]}: trimmed, confidence 0.5 if missing, evidence with ref and
     detail, none without target or summary."""

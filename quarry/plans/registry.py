@@ -23,5 +23,5 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-for _part in ("aggregate_queries", "join_queries", "text_queries", "graph_queries", "code_queries", "flow_queries", "support_queries", "report_queries", "stream_queries", "more_queries", "name_queries"):
+for _part in ("aggregate_queries", "join_queries", "text_queries", "graph_queries", "code_queries", "flow_queries", "support_queries", "application_queries", "report_queries", "stream_queries", "more_queries", "name_queries"):
     import_module(f"quarry.plans.{_part}")
