@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions.names import simple_name
 from quarry.operators.aggregates import auth_mode
 from quarry.operators.linking import contains_pairs
-from quarry.operators.relational import top_k
+from quarry.operators.relational import ranks, top_k
 
 _REQUIREMENT = r'@SecurityRequirement\s*\(\s*name\s*=\s*"([^"]+)"'
 _TAG = r'@Tag\s*\(\s*name\s*=\s*"([^"]+)"'
@@ -152,3 +152,28 @@ def class_cards(members: DataFrame, key: str, member: str, most: int = 16) -> Da
     """(key, n, first) of classes: their size and their `most` first members; no longer list is built."""
     counts = members.groupBy(key).agg(F.count("*").alias("n"))
     return counts.join(top_k(members, [key], [member], most).groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("first")), key)
+
+
+#: Sources of the lines of a section, the first of equal lines wins.
+LINE_SOURCES = ["document", "graph", "section"]
+
+
+def flow_lines(found: DataFrame, existing: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, section, line, source, rank, ord) of what a section holds, each line once, from its first source.
+
+    found(key, section, source, line, ord) are flows and processes of the document and its graph; existing(key, section,
+    text) are the sections as they stand, whose bullets are taken off."""
+    bare = F.trim(F.regexp_replace("line", r"^[-*]\s*", ""))
+    kept = existing.select(key, "section", F.posexplode(F.split("text", "\n")).alias("ord", "line")).select(key, "section", F.lit("section").alias("source"), bare.alias("line"), F.col("ord").cast("long"))
+    rank = F.array_position(F.array(*map(F.lit, LINE_SOURCES)), F.col("source")).cast("int")
+    rows = found.select(key, "section", "source", "line", F.col("ord").cast("long")).union(kept).where("line <> ''").withColumn("rank", rank)
+    first = rows.groupBy(key, "section", "line").agg(F.min(F.struct("rank", "ord", "source")).alias("f"))
+    return first.select(key, "section", "line", "f.source", "f.rank", "f.ord")
+
+
+def section_parts(lines: DataFrame, key: str = "doc_id", most: int = 1000) -> DataFrame:
+    """(key, section, part, text): sections rebuilt from their lines, in parts of at most `most`; joined by a line break in
+    order of part they are the whole section. Ranks place the lines, so a section of any size lies in several tasks."""
+    placed = ranks(lines, [key, "section"], ["rank", "ord", "line"], "n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n")
+    return placed.groupBy(key, "section", F.floor((F.col("n") - 1) / most).cast("int").alias("part")).agg(text.alias("text"))

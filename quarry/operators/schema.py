@@ -221,5 +221,6 @@ def schema_summary(columns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fallback_tables(names: DataFrame, name: str = "name") -> DataFrame:
+    # The columns of a table that nothing describes.
     stock = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("type")) for c, t in (("id", "uuid"), ("name", "string"), ("created_at", "timestamp"))))
     return names.select(normalize_hint(name).alias("table_name")).distinct().select("table_name", F.posexplode(stock).alias("ord", "c")).select("table_name", "ord", "c.*")

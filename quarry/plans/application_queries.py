@@ -127,8 +127,8 @@ _RING = """
 SELECT 'c' || CAST(c_custkey AS STRING) AS id, CASE c_custkey % 10 WHEN 0 THEN 'Process' WHEN 1 THEN 'Interface' WHEN 2 THEN 'DataFlow' WHEN 3 THEN 'Transformation' WHEN 4 THEN 'SecurityPolicy' WHEN 5 THEN 'Rule'
   WHEN 6 THEN 'Dependency' WHEN 7 THEN 'Issue' WHEN 8 THEN 'AcceptanceCriterion' ELSE 'Metric' END AS type, c_custkey % 17 = 0 AS external, c_custkey % 10 = 2 AS monitored FROM customer"""
 _RING_EDGES = """
-SELECT 'e' || CAST(c_custkey AS STRING) || '-' || CAST(step AS STRING) AS id, 'c' || CAST(c_custkey AS STRING) AS src, CASE WHEN step = 9 THEN 'e' || CAST(c_custkey AS STRING) || '-1' ELSE 'c' || CAST(c_custkey - step AS STRING) END AS dst
-FROM customer JOIN (SELECT 3 AS place, 1 AS step UNION ALL SELECT 1, 1 UNION ALL SELECT 5, 1 UNION ALL SELECT 6, 6 UNION ALL SELECT 7, 9 UNION ALL SELECT 8, 8 UNION ALL SELECT 9, 7) steps ON c_custkey % 10 = place
+SELECT 'e' || CAST(c_custkey AS STRING) || '-' || CAST(step AS STRING) AS id, 'c' || CAST(c_custkey AS STRING) AS src, CASE WHEN step = 9 THEN 'e' || CAST(c_custkey - 2 AS STRING) || '-1' ELSE 'c' || CAST(c_custkey - step AS STRING) END AS dst
+FROM customer JOIN (SELECT 3 AS place, 1 AS step UNION ALL SELECT 1, 1 UNION ALL SELECT 2, -1 UNION ALL SELECT 5, 1 UNION ALL SELECT 6, 6 UNION ALL SELECT 7, 9 UNION ALL SELECT 8, 8 UNION ALL SELECT 9, 7) steps ON c_custkey % 10 = place
 WHERE c_custkey % 30 >= 10 AND c_custkey >= 10"""
 
 
@@ -167,3 +167,27 @@ def _(s, d):
 def _(s, d):
     names = "SELECT c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN 'Repository' WHEN 1 THEN 'repo' WHEN 2 THEN 'Service' ELSE 'Store' END AS name, CASE c_custkey % 5 WHEN 3 THEN 'JpaRepository' ELSE 'Class' END AS type FROM customer UNION ALL SELECT 'Repo', 'Class' FROM region"
     return C.persistence_processes(derive(s, d, names))
+
+
+_FOUND = """
+SELECT o_custkey AS doc_id, 'data_flows' AS section, 'document' AS source, o_orderpriority || ' flow' AS line, o_orderkey AS ord FROM orders
+UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'processes' ELSE 'data_flows' END, 'graph', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' persistence' ELSE '1-URGENT flow' END, c_nationkey FROM customer
+UNION ALL SELECT c_custkey, 'processes', 'graph', '', 0 FROM customer"""
+_STANDING = "SELECT c_custkey AS doc_id, 'data_flows' AS section, '- 2-HIGH flow' || chr(10) || '*  own line' || chr(10) || chr(10) || 'own line' AS text FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'processes', NULL FROM customer"
+
+
+@query("u2_flow_sections", f"""
+WITH u AS (SELECT doc_id, section, line, CASE source WHEN 'document' THEN 1 ELSE 2 END AS rank, ord FROM ({_FOUND}) WHERE line <> ''
+  UNION ALL SELECT c_custkey, 'data_flows', unnest(['2-HIGH flow', 'own line']), 3, unnest([0, 1]) FROM customer WHERE c_custkey % 3 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section, line ORDER BY rank, ord) AS rn FROM u),
+o AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, section ORDER BY rank, ord, line) - 1) // 3 AS part FROM f WHERE rn = 1)
+SELECT doc_id, section, CAST(part AS INTEGER) AS part, string_agg('- ' || line, chr(10) ORDER BY rank, ord, line) AS text FROM o GROUP BY ALL""")
+def _(s, d):
+    return P.section_parts(P.flow_lines(derive(s, d, _FOUND), derive(s, d, _STANDING)), most=3)
+
+
+@query("u2_flow_sources", f"""
+WITH u AS (SELECT doc_id, section, line, CASE source WHEN 'document' THEN 1 ELSE 2 END AS rank FROM ({_FOUND}) WHERE line <> '' UNION ALL SELECT c_custkey, 'data_flows', unnest(['2-HIGH flow', 'own line']), 3 FROM customer WHERE c_custkey % 3 = 0),
+m AS (SELECT min(rank) AS rank FROM u GROUP BY doc_id, section, line) SELECT CASE rank WHEN 1 THEN 'document' WHEN 2 THEN 'graph' ELSE 'section' END AS source, count(*) AS n FROM m GROUP BY 1""")
+def _(s, d):
+    return P.flow_lines(derive(s, d, _FOUND), derive(s, d, _STANDING)).groupBy("source").agg(F.count("*").alias("n"))
