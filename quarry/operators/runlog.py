@@ -25,9 +25,9 @@ def by_freshness(versions: DataFrame, keys: list[str], at: str) -> DataFrame:
     return versions.groupBy(*keys).agg(F.max(at).alias("last_at")).orderBy(F.desc("last_at"), *keys)
 
 
-def usage_cost(usage: DataFrame, prices: DataFrame, keys: list[str], usage_keys: list[str], model: str = "model", price_key: str = "price_key", default: str = "default") -> DataFrame:
+def usage_cost(usage: DataFrame, prices: DataFrame, keys: list[str], model: str = "model", price_key: str = "price_key", default: str = "default") -> DataFrame:
     """Sums of four token classes and their cost; the longest price key that a model name contains counts."""
-    priced = longest_key(usage, prices, model, price_key, default, usage_keys)
+    priced = longest_key(usage, prices, model, price_key, default)
     classes = ["input", "cache_create", "cache_read", "output"]
     cost = sum((F.col(c) * F.col(f"{c}_price") for c in classes), F.lit(0.0)) / 1_000_000
     return priced.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in classes), F.round(F.sum(cost), 4).alias("cost"), F.sort_array(F.collect_set(model)).alias("models"))

@@ -247,7 +247,7 @@ def _(s, d):
     models = usage.select("model").distinct()
     from quarry.operators.linking import longest_key
 
-    priced = usage.join(longest_key(models, prices, "model", "price_key", "default", ["model"]).drop("price_key"), "model")
+    priced = usage.join(longest_key(models, prices, "model", "price_key", "default").drop("price_key"), "model")
     classes = ["input", "cache_create", "cache_read", "output"]
     cost = sum((F.col(c) * F.col(f"{c}_price") for c in classes), F.lit(0.0))
     return priced.groupBy("l_suppkey").agg(*(F.sum(c).alias(c) for c in classes), F.round(F.sum(cost) / 1_000_000, 4).alias("cost"), F.countDistinct("model").alias("n_models"))

@@ -194,7 +194,7 @@ SELECT p_partkey, CASE WHEN contains(model, 'economy-brand#1') THEN 'economy-bra
 def _(s, d):
     usage = table(s, d, "part").select("p_partkey", F.concat_ws("-", F.lower("p_type"), F.lower("p_brand")).alias("model"))
     prices = s.sql("SELECT * FROM (VALUES ('economy'), ('economy-brand#1'), ('small'), ('default')) AS t(price_key)")
-    return L.longest_key(usage, prices, "model", "price_key", "default", ["p_partkey"]).select("p_partkey", "price_key")
+    return L.longest_key(usage, prices, "model", "price_key", "default").select("p_partkey", "price_key")
 
 
 @query("j23_merge_evidence", """
