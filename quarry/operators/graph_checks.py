@@ -55,7 +55,7 @@ def dependency_edges(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     used = nodes.where("type IN ('Dependency', 'Persistence')").select(key, F.col("id").alias("dst"), kind.alias("edge"), F.col("name").alias("__b"))
     process = nodes.where("type = 'Process' AND name <> ''").select(key, F.col("id").alias("src"), F.col("name").alias("__a"))
     held = contains_either(process, used.where("__b <> ''"), "__a", "__b", within=(key,))
-    whole = nodes.where("type = 'Service'").select(key, F.col("id").alias("src")).join(used, key)
+    whole = nodes.where("type = 'Service'").select(key, F.col("id").alias("src")).join(used.hint("merge"), key)
     return reduce(DataFrame.unionByName, (df.select(key, "src", "dst", F.col("edge").alias("type")) for df in (held, whole))).distinct()
 
 

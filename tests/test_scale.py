@@ -33,3 +33,14 @@ def test_narrow_tables_are_dealt_out_by_key(spark):
     docs = inputs.derive(spark, SF, inputs.MARKDOWN)
     assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert plan(docs.groupBy("doc_id").agg(F.max("text"))).count("Exchange") == 1
+
+
+    rows = [(d, f"p{i}", "Process", f"calls s{i} now") for d in (1, 2) for i in range(3)] + [(1, f"d{i}", "Dependency", f"s{i}") for i in range(3)] + [(2, "d0", "Persistence", "S0"), (2, "v", "Service", "v")]
+    nodes = spark.createDataFrame(rows, "doc_id int, id string, type string, name string")
+    want = {(1, f"p{i}", f"d{i}", "dependsOn") for i in range(3)} | {(2, "p0", "d0", "writesTo"), (2, "v", "d0", "writesTo")}
+    monkeypatch.setattr(linking, "SENT_GRAMS", 0)
+    for few in (linking.FEW_NAMES, 2, 0):
+        monkeypatch.setattr(linking, "FEW_NAMES", few)
+        out = graph_checks.dependency_edges(nodes)
+        assert {tuple(r) for r in out.collect()} == want
+        assert "Broadcast" not in plan(out)
