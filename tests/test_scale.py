@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.operators import graph_checks, linking
-from quarry.plans import inputs
+from quarry.plans import inputs, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +35,7 @@ def test_narrow_tables_are_dealt_out_by_key(spark):
     assert plan(docs.groupBy("doc_id").agg(F.max("text"))).count("Exchange") == 1
 
 
+def test_dependency_edges_of_crowded_documents(spark, monkeypatch):
     rows = [(d, f"p{i}", "Process", f"calls s{i} now") for d in (1, 2) for i in range(3)] + [(1, f"d{i}", "Dependency", f"s{i}") for i in range(3)] + [(2, "d0", "Persistence", "S0"), (2, "v", "Service", "v")]
     nodes = spark.createDataFrame(rows, "doc_id int, id string, type string, name string")
     want = {(1, f"p{i}", f"d{i}", "dependsOn") for i in range(3)} | {(2, "p0", "d0", "writesTo"), (2, "v", "d0", "writesTo")}
@@ -44,3 +45,9 @@ def test_narrow_tables_are_dealt_out_by_key(spark):
         out = graph_checks.dependency_edges(nodes)
         assert {tuple(r) for r in out.collect()} == want
         assert "Broadcast" not in plan(out)
+
+
+def test_code_edges_send_only_rows_per_project(spark):
+    out = registry.QUERIES["g4_code_edges"](spark, SF)
+    # The project itself, its packages and stores, the two sizes and first types of flows; few names of contained ones are told apart by count.
+    assert plan(out).count("BroadcastExchange") <= 8
