@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.durable import saved
 from quarry.operators.linking import contains_any, contains_pairs
 from quarry.operators.text import KNOWN_SECTIONS, REQUIRED_SECTIONS
 
@@ -87,9 +88,15 @@ def empty_sections(sections: DataFrame, key: str = "doc_id", known: list[str] |
 
 
 def section_issues(docs: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Required sections that a document lacks, and known ones that are empty. A document's sections are told once, as two
+    lists that are no longer than the fixed ones."""
+    named = lambda test: F.collect_set(F.when(test, F.col("name")))
+    bare = F.col("name").isin(KNOWN_SECTIONS) & (F.trim("raw") == "")
+    told = saved(sections.groupBy(key).agg(named(F.col("name").isin(REQUIRED_SECTIONS)).alias("__had"), named(bare).alias("__bare")), "sections")
+    lacks = F.array_except(F.array(*map(F.lit, REQUIRED_SECTIONS)), F.coalesce("__had", F.array().cast("array<string>")))
     ref = F.concat(F.lit("#"), F.col("name"))
-    missing = missing_sections(docs, sections, key).select(key, *_issue("gap", "missing_section", ref))
-    return missing.union(empty_sections(sections, key).select(key, *_issue("gap", "empty_section", ref)))
+    missing = docs.select(key).join(told.hint("merge"), key, "left").select(key, F.explode(lacks).alias("name")).select(key, *_issue("gap", "missing_section", ref))
+    return missing.union(told.select(key, F.explode("__bare").alias("name")).select(key, *_issue("gap", "empty_section", ref)))
 
 
 def contradictions(items: DataFrame, key: str = "doc_id", compat: bool = False) -> DataFrame:
