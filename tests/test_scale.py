@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import graph_checks, linking
+from quarry.operators import graph, graph_checks, linking
 from quarry.plans import inputs, registry, stream_queries
 from quarry.streaming import deltas, keyed
 
@@ -60,3 +60,10 @@ def test_first_keys_over_several_batches(spark, tmp_path):
         spark.createDataFrame([(k, "s", "x", "h", at, "t") for k, at in rows], schema).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
     out = stream_queries._drained(spark, keyed.first_keys(deltas.stream_deltas(spark, str(tmp_path / "log"), files_per_trigger=1)), str(tmp_path / "out"))
     assert sorted(r["id"] for r in out.collect()) == ["d1", "d2", "d3"]
+
+
+def test_nodes_of_an_item_are_made_in_one_pass(spark):
+    items = spark.createDataFrame([(1, "rules", 0, "alert the external monitor"), (1, "other", 0, "latency"), (1, None, 0, "x")], "doc_id int, section string, item_ord int, item string")
+    out = graph.canonical_nodes(items)
+    assert "Union" not in plan(out)
+    assert sorted(r["id"] for r in out.collect()) == ["alert.alert-the-external-monitor.1", "ext.alert-the-external-monitor.1", "met.latency.1", "mon.alert-the-external-monitor.1", "rule.alert-the-external-monitor.1"]
