@@ -1,8 +1,10 @@
 """What is sent to all tasks is bounded, and small files are dealt out: plans and results at the limits."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, graph_checks, linking
+from quarry.operators import durable, graph, graph_checks, linking
 from quarry.plans import inputs, registry, stream_queries
 from quarry.streaming import deltas, keyed
 
@@ -67,3 +69,17 @@ def test_nodes_of_an_item_are_made_in_one_pass(spark):
     out = graph.canonical_nodes(items)
     assert "Union" not in plan(out)
     assert sorted(r["id"] for r in out.collect()) == ["alert.alert-the-external-monitor.1", "ext.alert-the-external-monitor.1", "met.latency.1", "mon.alert-the-external-monitor.1", "rule.alert-the-external-monitor.1"]
+
+
+def test_best_matches_of_distinct_sets_write_no_pairs(spark, monkeypatch):
+    gen, written = random.Random(3), []
+    lefts, rights = ([set(gen.sample(range(60), 25)) for _ in range(n)] for n in (40, 600))
+    monkeypatch.setattr(linking, "saved", lambda df, tag: written.append(durable.saved(df, tag)) or written[-1])
+    monkeypatch.setattr(linking, "CELLS", 4000)
+    left = spark.createDataFrame([(f"l{i}", f"f{f}") for i, fs in enumerate(lefts) for f in fs], "left_id string, feature string")
+    right = spark.createDataFrame([(j, 600 - j, [(f"f{f}", 1 + f % 5) for f in fs]) for j, fs in enumerate(rights)], "right_id long, ord long, features array<struct<feature: string, weight: long>>")
+    out = linking.best_rows(left, right, 2)
+    want = {(f"l{i}", j, -s) for i, fs in enumerate(lefts) for s, _, j in sorted((-sum(1 + f % 5 for f in fs & gs), 600 - j, j) for j, gs in enumerate(rights))[:2]}
+    assert {(r["left_id"], r["right_id"], r["score"]) for r in out.collect()} == want
+    # The features of the right rows, 15 000, and the 24 000 pairs are not written.
+    assert sum(df.count() for df in written) < 5000
