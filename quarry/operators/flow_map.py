@@ -132,31 +132,49 @@ def trace_flows(entries: DataFrame, primary: DataFrame, operations: DataFrame, r
     wanted = saved(primary.select("service", "operation").distinct(), "flow-operations")
     stores = service_repositories(wanted, repositories, calls, deps).select("service", "operation", "place", F.lit("repository").alias("role"), "node")
     by_op = lambda df, part: step(primary.select("entry_id", "service", "operation").join(df, ["service", "operation"]), part)
-    steps = saved(reduce(DataFrame.unionByName, [first, step(service, 1), by_op(helpers, 2), by_op(stores, 3)]), "flow-steps")
+    steps = [first, step(service, 1), by_op(helpers, 2), by_op(stores, 3)]
 
     added = deps.join(wanted.select(F.col("service").alias("src")).distinct(), "src", "left_semi").groupBy("src", F.col("dst").alias("node")).agg(F.min("ord").alias("place")).join(known, "node", "left")
     added = added.select(F.col("src").alias("service"), "place", collaborator_role("node", "known").alias("role"), "node").where(F.col("role").isin(*DEPENDENCY_ROLES))
-    added = primary.select("entry_id", "service").join(added, "service").join(steps.select("entry_id", "node").distinct(), ["entry_id", "node"], "left_anti")
+    added = primary.select("entry_id", "service").join(added, "service")
     heard = entries.where(F.col("kind").rlike("listener|^event-handler$")).join(triggers, F.col("target") == F.col("listener")).select("entry_id", triggers["ord"].alias("place"), F.col("effect").alias("text"))
     timed = entries.where(step_role("kind") == "scheduler").join(jobs.groupBy(F.col("name").alias("target")).agg(F.min_by("effects", "ord").alias("effects")), "target").select("entry_id", F.lit(0).alias("place"), F.col("effects").alias("text"))
     named = [step(_named_in(t, repositories).withColumn("role", F.lit("repository")), part) for part, t in ((5, heard), (6, timed))]
-    every = reduce(DataFrame.unionByName, [steps, step(added, 4), *named])
-    once = unique_by(every.where("node IS NOT NULL"), ["entry_id", "role", "node"], ["part", "place"])
+    # One exchange by entry serves all that follows; an entry has few steps.
+    every = reduce(DataFrame.unionByName, [*steps, step(added, 4), *named]).where("node IS NOT NULL").repartition("entry_id")
+    once = unique_by(every, ["entry_id", "node", "role"], ["part", "place"])
+    # What dependencies add is new: no step before has the node.
+    once = once.withColumn("since", F.min("part").over(Window.partitionBy("entry_id", "node"))).where("part <> 4 OR since = 4")
     order = Window.partitionBy("entry_id").orderBy("part", "place", "role", "node")
     return once.withColumn("step_ord", F.row_number().over(order)).select("entry_id", "step_ord", "role", "node")
 
 
+def _anchored(entries: DataFrame, primary: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Entries with their cluster and anchor; starts(entry_id, start), if known, go before the target."""
+    joined = entries.join(primary.select("entry_id", "service"), "entry_id", "left")
+    joined = joined if starts is None else joined.join(starts, "entry_id", "left")
+    anchor = F.coalesce("service", *([] if starts is None else ["start"]), "target", "entry_id")
+    proof = F.col("n_evidence") + F.col("service").isNotNull().cast("long")
+    return joined.select("app", slugify(anchor, 80).alias("cluster"), anchor.alias("anchor"), "entry_id", "kind", F.struct("rank", "ord", "entry_id").alias("at"), proof.alias("proof"))
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("app", "cluster").agg(F.min_by("anchor", "at").alias("anchor"), flow_type(F.min_by("kind", "at")).alias("flow_type"), F.min_by("entry_id", "at").alias("first_entry"), F.count("*").alias("n_entries"), F.least(F.sum("proof"), F.lit(EVIDENCE_MOST).cast("long")).alias("n_evidence"))
+
+
+def lead_flows(entries: DataFrame, primary: DataFrame) -> DataFrame:
+    """(app, cluster, anchor, flow_type, first_entry, n_entries, n_evidence) of cluster_flows, before anything is traced: a
+    trace starts at the entry's target, and one without service has no other controller, listener or scheduler."""
+    return saved(_led(_anchored(entries, primary)), "flow-leads")
+
+
 def cluster_flows(entries: DataFrame, primary: DataFrame, steps: DataFrame) -> DataFrame:
     """(app, cluster, anchor, flow_type, first_entry, n_entries, n_evidence, entry_ids, helpers): entries of an application
     by anchor: the service, else the first controller, listener or scheduler step, else the target. Lists have the first
     sixteen; rows beyond never meet."""
     starts = steps.where(F.col("role").isin("controller", "listener", "scheduler")).groupBy("entry_id").agg(F.min_by("node", "step_ord").alias("start"))
-    joined = entries.join(primary.select("entry_id", "service"), "entry_id", "left").join(starts, "entry_id", "left")
-    anchor = F.coalesce("service", "start", "target", "entry_id")
-    proof = F.col("n_evidence") + F.col("service").isNotNull().cast("long")
-    rows = saved(joined.select("app", slugify(anchor, 80).alias("cluster"), anchor.alias("anchor"), "entry_id", "kind", F.struct("rank", "ord", "entry_id").alias("at"), proof.alias("proof")), "flow-clusters")
-    key = ["app", "cluster"]
-    out = rows.groupBy(*key).agg(F.min_by("anchor", "at").alias("anchor"), flow_type(F.min_by("kind", "at")).alias("flow_type"), F.min_by("entry_id", "at").alias("first_entry"), F.count("*").alias("n_entries"), F.least(F.sum("proof"), F.lit(EVIDENCE_MOST).cast("long")).alias("n_evidence"))
+    rows = saved(_anchored(entries, primary, starts), "flow-clusters")
+    key, out = ["app", "cluster"], _led(rows)
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c])
     ids = top_k(rows, key, ["at"], EVIDENCE_MOST).groupBy(*key).agg(ordered("entry_id").alias("entry_ids"))
     named = rows.join(steps.where(F.col("role").isin(*HELPER_ROLES)).select("entry_id", "node", "step_ord"), "entry_id").groupBy(*key, "node").agg(F.min(F.struct("at", "step_ord")).alias("at"))

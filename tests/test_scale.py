@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.operators import durable, graph, graph_checks, linking
-from quarry.plans import inputs, registry, stream_queries
+from quarry.operators import durable, flow_map, graph, graph_checks, linking
+from quarry.plans import flow_queries, inputs, registry, stream_queries
 from quarry.streaming import deltas, keyed
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,19 @@ def test_best_matches_of_distinct_sets_write_no_pairs(spark, monkeypatch):
     assert {(r["left_id"], r["right_id"], r["score"]) for r in out.collect()} == want
     # The features of the right rows, 15 000, and the 24 000 pairs are not written.
     assert sum(df.count() for df in written) < 5000
+
+
+def test_flows_are_told_from_traces_of_first_entries(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(flow_queries, "saved", lambda df, tag: written.setdefault(tag, durable.saved(df, tag)))
+    flows = registry.QUERIES["g10_interpreted_flows"](spark, SF)
+    traced = written["flow-traces"].select("entry_id").distinct().count()
+    assert traced == flows.count() < written["flow-entries"].count()
+
+
+def test_leads_equal_clusters(spark):
+    e = flow_queries.Evidence(spark, SF)
+    entries = e.entries()
+    leads = flow_map.lead_flows(entries, e.primary(entries))
+    clusters = flow_map.cluster_flows(entries, e.primary(entries), e.steps(entries)).select(leads.columns)
+    assert sorted(map(tuple, leads.collect())) == sorted(map(tuple, clusters.collect()))
