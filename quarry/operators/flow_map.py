@@ -95,7 +95,8 @@ def service_repositories(services: DataFrame, repositories: DataFrame, calls: Da
     asked = services.select("service", "operation").distinct()
     tiers = []
     for links in (calls, deps):
-        near = asked.join(links.select(F.col("src").alias("service"), F.col("dst").alias("callee")).where("callee <> ''").distinct(), "service")
+        # Read several times: written, so that the links are read once.
+        near = saved(asked.join(links.select(F.col("src").alias("service"), F.col("dst").alias("callee")).where("callee <> ''").distinct(), "service"), "flow-callees")
         tiers.append(near.join(_near_repositories(near, repositories), "callee").select("service", "operation", F.col("name").alias("node"), "place").distinct())
     said = asked.withColumn("__said", F.lower(F.concat_ws(" ", "service", "operation")))
     low = F.lower(_stem("name"))
@@ -140,8 +141,10 @@ def trace_flows(entries: DataFrame, primary: DataFrame, operations: DataFrame, r
     heard = entries.where(F.col("kind").rlike("listener|^event-handler$")).join(triggers, F.col("target") == F.col("listener")).select("entry_id", triggers["ord"].alias("place"), F.col("effect").alias("text"))
     timed = entries.where(step_role("kind") == "scheduler").join(jobs.groupBy(F.col("name").alias("target")).agg(F.min_by("effects", "ord").alias("effects")), "target").select("entry_id", F.lit(0).alias("place"), F.col("effects").alias("text"))
     named = [step(_named_in(t, repositories).withColumn("role", F.lit("repository")), part) for part, t in ((5, heard), (6, timed))]
-    # One exchange by entry serves all that follows; an entry has few steps.
-    every = reduce(DataFrame.unionByName, [*steps, step(added, 4), *named]).where("node IS NOT NULL").repartition("entry_id")
+    # One exchange by entry serves all that follows; an entry has few steps. The number of parts is given, as Spark would
+    # put parts together by their compressed size, and steps repeat.
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = reduce(DataFrame.unionByName, [*steps, step(added, 4), *named]).where("node IS NOT NULL").repartition(n, "entry_id")
     once = unique_by(every, ["entry_id", "node", "role"], ["part", "place"])
     # What dependencies add is new: no step before has the node.
     once = once.withColumn("since", F.min("part").over(Window.partitionBy("entry_id", "node"))).where("part <> 4 OR since = 4")

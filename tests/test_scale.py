@@ -1,6 +1,7 @@
 """What is sent to all tasks is bounded, and small files are dealt out: plans and results at the limits."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,10 @@ def test_leads_equal_clusters(spark):
     leads = flow_map.lead_flows(entries, e.primary(entries))
     clusters = flow_map.cluster_flows(entries, e.primary(entries), e.steps(entries)).select(leads.columns)
     assert sorted(map(tuple, leads.collect())) == sorted(map(tuple, clusters.collect()))
+
+
+def test_traces_take_one_exchange_by_entry(spark):
+    e = flow_queries.Evidence(spark, SF)
+    entries = e.entries()
+    out = flow_map.trace_flows(entries, e.primary(entries), *(e.of[k] for k in ("operations", "repositories", "calls", "deps", "kinds", "triggers", "jobs")))
+    assert not re.search(r"hashpartitioning\(entry_id#\d+L?, (role|node)#", plan(out))
