@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -173,35 +173,47 @@ DOMAIN_TABLES = [
 MAIN_SECTIONS, ENTITY_WORDS, FALLBACK_TABLE = ("examples", "processes", "dependencies"), "(?i)persistence|repository|entity|table|database|store", "domain_record"
 
 
+#: Evidence of a table, the strongest first.
+RUNGS = ("explicit", "keyword", "hint", "dependency", "graph", "main")
+
+
 def table_ladder(docs: DataFrame, explicit: DataFrame, hints: DataFrame, items: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, table_name, evidence): tables of each document, each once, with the evidence that stands first.
 
     Documents with declared tables have no others. The rest have those of keywords, of hints that their text holds, of
     dependencies, of entity-like graph nodes, and a main table, the first that examples, processes, dependencies, nodes,
     the title or the text name; documents that no rung gave a table have the fallback. docs(key, title, text),
-    explicit(key, table_name), hints(hint), items(key, section, item_ord, item), nodes(key, type, name, ord)."""
-    declared = explicit.select(key, "table_name").where("table_name IS NOT NULL").distinct()
-    gate = declared.select(key).distinct()
-    free = lambda df: df.join(gate, key, "left_anti")
-    texts = saved(free(docs).select(key, F.lower("title").alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text")), "ladder")
-    free_items, free_nodes = (free(x.join(docs.select(key).distinct(), key, "left_semi")) for x in (items, nodes))
-    words = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(t)) for t, p in DOMAIN_TABLES)), lambda x: x.isNotNull())
+    explicit(key, table_name), hints(hint), items(key, section, item_ord, item), nodes(key, type, name, ord).
+
+    All evidence meets in one exchange by key, with a given number of parts."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(key, F.lower("title").alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    long, none = (lambda x: F.lit(x).cast("long")), F.lit(None).cast("string")
+    # Rungs by their place in RUNGS, -1 marks a document; rows of the main rung are its candidates, by source and place there.
+    row = lambda rung, table, source=F.lit(None), at=F.lit(None): F.struct(F.lit(RUNGS.index(rung) if rung else -1).alias("rung"), table.alias("table_name"), source.cast("int").alias("source"), at.cast("long").alias("at"))
+    told = lambda df, *rows: df.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*")
+    words = [row("keyword", F.when(F.col("text").rlike(p), F.lit(t))) for t, p in DOMAIN_TABLES]
+    by_docs = told(texts, row(None, none), *words, row("main", table_from_text(F.col("title")), F.lit(4), long(0)), row("main", table_from_text(F.col("text")), F.lit(5), long(0)))
     names = hints.select(normalize_hint("hint").alias("table_name")).where("table_name IS NOT NULL").distinct().withColumn("said", F.replace("table_name", F.lit("_"), F.lit(" ")))
-    hinted = contains_pairs(texts.select(key, "text"), names, "text", "said").select(key, "table_name")
-    entity = free_nodes.where(F.coalesce(F.col("type").rlike(ENTITY_WORDS), F.lit(False)) | F.coalesce(F.col("name").rlike(ENTITY_WORDS), F.lit(False)))
+    hinted = told(contains_pairs(texts.select(key, "text"), names, "text", "said"), row("hint", F.col("table_name")))
     sections = F.create_map(*(F.lit(x) for k, s in enumerate(MAIN_SECTIONS) for x in (s, k)))
-    said = free_items.select(key, F.try_element_at(sections, F.col("section")).alias("rank"), F.col("item_ord").cast("long").alias("ord"), F.col("item").alias("said")).where("rank IS NOT NULL")
-    said = said.union(free_nodes.select(key, F.lit(3), F.col("ord").cast("long"), "name")).union(texts.select(key, F.lit(4), F.lit(0).cast("long"), "title")).union(texts.select(key, F.lit(5), F.lit(0).cast("long"), "text"))
-    named = said.withColumn("table_name", table_from_text(F.col("said"))).where("table_name IS NOT NULL")
-    main = named.groupBy(key).agg(F.min_by("table_name", F.struct("rank", "ord", "table_name")).alias("table_name"))
-    rungs = [
-        ("explicit", declared), ("keyword", texts.select(key, F.explode(words).alias("table_name"))), ("hint", hinted), ("dependency", free_items.where("section = 'dependencies'").select(key, table_from_text(F.col("item")).alias("table_name"))),
-        ("graph", entity.select(key, F.coalesce(table_from_text(F.col("name")), normalize_hint("name")).alias("table_name"))), ("main", main),
-    ]
-    rows = [df.select(key, "table_name", F.lit(k).alias("rank"), F.lit(name).alias("evidence")) for k, (name, df) in enumerate(rungs)]
-    found = saved(reduce(DataFrame.union, rows).where("table_name IS NOT NULL AND table_name <> ''").groupBy(key, "table_name").agg(F.min_by("evidence", "rank").alias("evidence")), "ladder-tables")
-    bare = docs.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
-    return found.union(bare.select(key, F.lit(FALLBACK_TABLE), F.lit("fallback")))
+    item, source = table_from_text(F.col("item")), F.try_element_at(sections, F.col("section"))
+    by_items = told(items.where(F.col(key).isNotNull()), row("dependency", F.when(F.col("section") == "dependencies", item)), row("main", F.when(source.isNotNull(), item), source, F.col("item_ord")))
+    entity = F.coalesce(F.col("type").rlike(ENTITY_WORDS), F.lit(False)) | F.coalesce(F.col("name").rlike(ENTITY_WORDS), F.lit(False))
+    by_name = table_from_text(F.col("name"))
+    by_nodes = told(nodes.where(F.col(key).isNotNull()), row("graph", F.when(entity, F.coalesce(by_name, normalize_hint("name")))), row("main", by_name, F.lit(3), F.col("ord")))
+    rows = reduce(DataFrame.union, [told(explicit, row("explicit", F.col("table_name"))), by_docs, hinted, by_items, by_nodes])
+    rows = rows.where("rung = -1 OR table_name IS NOT NULL AND (rung = 0 OR table_name <> '')").repartition(n, key)
+    main = F.min(F.when(F.col("rung") == RUNGS.index("main"), F.struct("source", "at", "table_name")))
+    once = rows.groupBy(key, "table_name").agg(F.min(F.when(F.col("rung") != RUNGS.index("main"), F.col("rung"))).alias("rung"), main.alias("main"))
+    whole, known = Window.partitionBy(key), F.col(key).isNotNull()
+    once = once.withColumns({"gated": known & F.max(F.coalesce(F.col("rung") == 0, F.lit(False))).over(whole), "document": F.max(F.coalesce(F.col("rung") == -1, F.lit(False))).over(whole), "first": F.min("main").over(whole)})
+    chosen = F.least("rung", F.when(F.col("main") == F.col("first"), F.lit(RUNGS.index("main"))))
+    stays = F.when(F.col("rung") == 0, F.col("table_name") != "").when(F.col("rung") == -1, False).otherwise(chosen.isNotNull() & F.col("document") & ~F.col("gated"))
+    once = once.withColumn("stays", stays).withColumn("some", known & F.max("stays").over(whole))
+    evidence = F.element_at(F.array(*map(F.lit, RUNGS)), chosen + 1)
+    last = F.col("rung") == -1
+    return once.where(F.col("stays") | (last & ~F.col("some"))).select(key, F.when(last, F.lit(FALLBACK_TABLE)).otherwise(F.col("table_name")).alias("table_name"), F.when(last, F.lit("fallback")).otherwise(evidence).alias("evidence"))
 
 
 def relationships(columns: DataFrame, tables: DataFrame, explicit: DataFrame) -> DataFrame:

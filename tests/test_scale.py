@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quarry.operators import durable, flow_map, graph, graph_checks, linking
+from quarry.operators import durable, flow_map, graph, graph_checks, linking, schema
 from quarry.plans import flow_queries, inputs, registry, stream_queries
 from quarry.streaming import deltas, keyed
 
@@ -107,3 +107,42 @@ def test_traces_take_one_exchange_by_entry(spark):
     entries = e.entries()
     out = flow_map.trace_flows(entries, e.primary(entries), *(e.of[k] for k in ("operations", "repositories", "calls", "deps", "kinds", "triggers", "jobs")))
     assert not re.search(r"hashpartitioning\(entry_id#\d+L?, (role|node)#", plan(out))
+
+
+def test_ladder_meets_in_one_exchange(spark):
+    out = registry.QUERIES["v1_table_ladder"](spark, SF)
+    assert "SortMergeJoin" not in plan(out)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ladder_of_blank_and_foreign_evidence(spark):
+    docs = spark.createDataFrame([(1, "a", None), (2, "b", "jobs"), (2, "b", "two notes"), (3, None, "user"), (None, "t", "order")], "doc_id int, title string, text string")
+    explicit = spark.createDataFrame([(1, ""), (3, "own"), (3, None), (9, "far")], "doc_id int, table_name string")
+    items = spark.createDataFrame([(2, "examples", None, "an invoice"), (2, "examples", 1, "a payment"), (8, "dependencies", 1, "order"), (None, "examples", 1, "file")], "doc_id int, section string, item_ord int, item string")
+    nodes = spark.createDataFrame([(2, "Entity", "Cart", 1), (2, None, "note", None), (9, "Entity", "x", 1)], "doc_id int, type string, name string, ord int")
+    hints = spark.createDataFrame([("two",), (None,)], "hint string")
+    out = sorted((tuple(r) for r in schema.table_ladder(docs, explicit, hints, items, nodes).collect()), key=repr)
+    assert out == sorted([
+        (1, "domain_record", "fallback"), (2, "tasks", "keyword"), (2, "notes", "keyword"), (2, "two", "hint"), (2, "cart", "graph"), (2, "invoices", "main"),
+        (3, "own", "explicit"), (9, "far", "explicit"), (None, "orders", "main"), (None, "domain_record", "fallback"),
+    ], key=repr)
+
+
+def test_few_names_meet_texts_where_they_lie(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, "one two") for k in range(9)] + [(9, None)], "k int, text string")
+    names = spark.createDataFrame([("two", 1), ("TWO", 1), ("six", 1)], "name string, v int")
+    for few in (linking.FEW_NAMES, 0):
+        monkeypatch.setattr(linking, "FEW_NAMES", few)
+        out = linking.contains_pairs(texts, names, "text", "name")
+        assert out.columns == ["name", "k", "text", "v"]
+        assert sorted((r["k"], r["name"]) for r in out.collect()) == sorted((k, n) for k in range(9) for n in ("two", "TWO"))
+        assert "__text" not in plan(out)
+
+
+def test_copies_of_a_text_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(linking, "SENT_GRAMS", 0)
+    monkeypatch.setattr(linking, "COPIES", 4)
+    texts = spark.createDataFrame([("one two",)] * 30 + [("one",), ("none",), (None,)], "text string").repartition(3)
+    out = linking.contains_pairs(texts, spark.createDataFrame([("two",), ("one",), ("three",)], "name string"), "text", "name")
+    assert sorted(map(tuple, out.collect())) == sorted([("one two", "one"), ("one two", "two")] * 30 + [("one", "one"), ("none", "one")])
+    assert "__part" in plan(out)
