@@ -185,7 +185,8 @@ def table_ladder(docs: DataFrame, explicit: DataFrame, hints: DataFrame, items:
     the title or the text name; documents that no rung gave a table have the fallback. docs(key, title, text),
     explicit(key, table_name), hints(hint), items(key, section, item_ord, item), nodes(key, type, name, ord).
 
-    All evidence meets in one exchange by key, with a given number of parts."""
+    Evidence of one table is put together first; what is left meets by key, with a given number of parts. Inputs that are
+    dealt out by key already need no other exchange."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(key, F.lower("title").alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     long, none = (lambda x: F.lit(x).cast("long")), F.lit(None).cast("string")
@@ -203,9 +204,9 @@ def table_ladder(docs: DataFrame, explicit: DataFrame, hints: DataFrame, items:
     by_name = table_from_text(F.col("name"))
     by_nodes = told(nodes.where(F.col(key).isNotNull()), row("graph", F.when(entity, F.coalesce(by_name, normalize_hint("name")))), row("main", by_name, F.lit(3), F.col("ord")))
     rows = reduce(DataFrame.union, [told(explicit, row("explicit", F.col("table_name"))), by_docs, hinted, by_items, by_nodes])
-    rows = rows.where("rung = -1 OR table_name IS NOT NULL AND (rung = 0 OR table_name <> '')").repartition(n, key)
+    rows = rows.where("rung = -1 OR table_name IS NOT NULL AND (rung = 0 OR table_name <> '')")
     main = F.min(F.when(F.col("rung") == RUNGS.index("main"), F.struct("source", "at", "table_name")))
-    once = rows.groupBy(key, "table_name").agg(F.min(F.when(F.col("rung") != RUNGS.index("main"), F.col("rung"))).alias("rung"), main.alias("main"))
+    once = rows.groupBy(key, "table_name").agg(F.min(F.when(F.col("rung") != RUNGS.index("main"), F.col("rung"))).alias("rung"), main.alias("main")).repartition(n, key)
     whole, known = Window.partitionBy(key), F.col(key).isNotNull()
     once = once.withColumns({"gated": known & F.max(F.coalesce(F.col("rung") == 0, F.lit(False))).over(whole), "document": F.max(F.coalesce(F.col("rung") == -1, F.lit(False))).over(whole), "first": F.min("main").over(whole)})
     chosen = F.least("rung", F.when(F.col("main") == F.col("first"), F.lit(RUNGS.index("main"))))
