@@ -6,7 +6,8 @@ parts; two sets as similar as asked differ in fewer n-grams than there are
 parts, so they agree in a whole part. Documents that share a part are
 candidates: a bucket gives star edges to its least id (already where the rows
 are, so a hot part sends one row per batch), and the candidate graph's
-components bring possible links together without pairs.
+components bring possible links together without pairs. Of the documents of a
+component that have equal sets only the first is compared; the others follow it.
 
 Within a component the sets are stored in a path-compressed trie. The sets go
 down it together, partial overlaps being shared by all sets below a node; a set
@@ -130,7 +131,8 @@ def forest(edges: np.ndarray) -> np.ndarray:
     return np.array([(r, x) for x in parent if (r := find(x)) != x], np.int64).reshape(-1, 2)
 
 
-#: Kinds of rows that leave the first pass: bucket row (key, id), edge (a, b), document (id, size of its set).
+#: Kinds of rows that leave the first pass: bucket row (key, id), edge (a, b), document (digest of its set, id, size of its
+#: set).
 BUCKET, EDGE, DOCUMENT = 0, 1, 2
 _FLOW = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 _FLOW_DDL = "key long, kind tinyint, a long, b long"
@@ -179,14 +181,15 @@ def candidate_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sets = [ngram_set(t, words) for t in as_bytes(batch.column("text"))]
             sizes = np.array([len(s) for s in sets], np.int64)
             numbers = np.asarray(ids.fill_null(0))
-            yield _flow(mix(numbers.astype(np.uint64)), DOCUMENT, ids, sizes)
+            digests = np.array([int(mix(s).sum()) for s in sets], np.uint64)
+            yield _flow(digests, DOCUMENT, ids, sizes)
             known = np.asarray(ids.is_valid())
             # Equal sets at hand: one stands for all.
             seen: dict[tuple[int, int], int] = {}
             keys, owners, same = [], [], []
             for at in np.flatnonzero(known & (sizes > 0)):
                 s = sets[at]
-                head = seen.setdefault((len(s), int(mix(s).sum())), int(numbers[at]))
+                head = seen.setdefault((len(s), int(digests[at])), int(numbers[at]))
                 if head != numbers[at]:
                     same.append((head, int(numbers[at])))
                     continue
@@ -226,7 +229,8 @@ def candidate_edges(rows: DataFrame, n: int) -> DataFrame:
         if len(edge):
             yield _flow(np.zeros(len(edge), np.int64), EDGE, np.ascontiguousarray(edge[:, 0]), np.ascontiguousarray(edge[:, 1]))
 
-    return rows.repartition(n, "key").mapInArrow(run, _FLOW_DDL)
+    # Documents go by id: many have one digest.
+    return rows.repartition(n, F.when(F.col("kind") == DOCUMENT, F.col("a")).otherwise(F.col("key"))).mapInArrow(run, _FLOW_DDL)
 
 
 class _Node:
@@ -423,10 +427,18 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     # A pair shares many parts and comes up in most slices of the keys, so fewer, larger slices repeat fewer edges.
     flow = stored(candidate_edges(candidate_rows(docs, words, percent), max(1, n // 2)), "ngram-flow")
     nodes = stored(components(flow.where(F.col("kind") == EDGE).select("a", "b")), "ngram-candidates")
-    sizes = flow.where((F.col("kind") == DOCUMENT) & F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(F.max("b").alias("size"))
-    weights = nodes.join(sizes, "id").groupBy("component").agg(F.ceil(F.sum(F.col("size") + SET_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("blocks"))
+    of_id = flow.where((F.col("kind") == DOCUMENT) & F.col("a").isNotNull()).groupBy(F.col("a").alias("id")).agg(
+        F.max("b").alias("size"), F.when((F.min("key") == F.max("key")) & (F.min("b") == F.max("b")), F.min("key")).alias("digest")
+    )
+    # Of documents with one set the first is compared; an id with several sets stands for itself.
+    known = stored(nodes.join(of_id, "id"), "ngram-known")
+    firsts = known.where("digest IS NOT NULL").groupBy("component", "size", "digest").agg(F.min("id").alias("first"))
+    known = known.join(firsts, ["component", "size", "digest"], "left").withColumn("first", F.coalesce("first", "id"))
+    known = stored(known.select("id", "component", "size", "first"), "ngram-firsts")
+    compared, copies = known.where(F.col("id") == F.col("first")), known.where(F.col("id") != F.col("first")).select("id", "first")
+    weights = compared.groupBy("component").agg(F.ceil(F.sum(F.col("size") + SET_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("blocks"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
     members = stored(
-        nodes.join(weights, "component").select(F.col("id").alias("m_id"), "component", "blocks", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block")), "ngram-members"
+        compared.join(weights, "component").select(F.col("id").alias("m_id"), "component", "blocks", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block")), "ngram-members"
     )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,6 +451,7 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     found = texts.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("m_id")).select("component", "blocks", "block", "doc_id", "text")
     clusters = stored(_clusters_within(found.mapInArrow(to_sets, _CLUSTERS_DDL), ("component", "block"), n, percent), "ngram-clusters")
     labels = clusters.where("label <> doc_id").select(F.col("doc_id").alias("l_id"), "label").distinct()
+    labels = labels.union(copies.join(labels, F.col("first") == F.col("l_id"), "left").select("id", F.coalesce("label", "first")))
     rows = flow.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     rows = rows.join(labels, F.col("doc_id") == F.col("l_id"), "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
     large = clusters.where("blocks > 1")

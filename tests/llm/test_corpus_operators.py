@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, html_text, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from quarry.llm import bpe, common, decontaminate, html_text, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 from quarry.llm.components import components
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -355,6 +355,52 @@ def test_one_document_of_each_group_stays(spark):
     assert ngram_join.similar_documents(docs_of(spark, [])).count() == 0
 
 
+def test_ngram_join_compares_each_set_once(spark, monkeypatch):
+    sent, within = [], ngram_join._clusters_within
+
+    def counted(sets, *args):
+        sent.append(sets.count())
+        return within(sets, *args)
+
+    monkeypatch.setattr(ngram_join, "_clusters_within", counted)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words)] * 20 + [" ".join([*words, "more"])] * 5 + ["only copies of this are here"] * 7
+    rows = ngram_join.similar_documents(docs_of(spark, texts).repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == components_by_brute_force(texts)
+    assert sent == [2]
+
+
+@pytest.mark.parametrize("block", [1_000_000, 500])
+def test_ngram_join_of_an_id_with_two_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", block)
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    docs = spark.createDataFrame([(9, a), (5, a), (5, b), (7, a), (8, b), (3, None), (4, a + " end"), (6, "alone")], "doc_id long, text string")
+    rows = ngram_join.similar_documents(docs.repartition(3)).select("doc_id", "component_id").distinct().collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {3: 3, 4: 4, 5: 4, 6: 6, 7: 4, 8: 4, 9: 4}
+
+
+def test_what_stored_exchanged_is_removed(spark):
+    import time
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def exchanged():
+        files = manager.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.length()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before = exchanged()
+    setting = spark.conf.get(common.FREES_SHUFFLES)
+    keyed = spark.range(2000).repartition(3, "id")
+    out = common.stored(keyed.join(spark.range(1000).hint("merge"), "id").groupBy((F.col("id") % 7).alias("k")).count(), "exchanged")
+    for _ in range(40):  # files are removed a moment later
+        if exchanged() <= before:
+            break
+        time.sleep(0.1)
+    assert exchanged() <= before and spark.conf.get(common.FREES_SHUFFLES) == setting
+    assert out.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_pipeline_stage_takes_near_copies_by_five_words(spark):
     import corpus_pipeline
 
