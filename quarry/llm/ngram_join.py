@@ -432,7 +432,8 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     )
     # Of documents with one set the first is compared; an id with several sets stands for itself.
     known = stored(nodes.join(of_id, "id"), "ngram-known")
-    firsts = known.where("digest IS NOT NULL").groupBy("component", "size", "digest").agg(F.min("id").alias("first"))
+    firsts = known.where("digest IS NOT NULL").groupBy("component", "size", "digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    firsts = stored(firsts.where("n > 1").drop("n"), "ngram-equal")  # a join with a stored table can split a set of very many copies
     known = known.join(firsts, ["component", "size", "digest"], "left").withColumn("first", F.coalesce("first", "id"))
     known = stored(known.select("id", "component", "size", "first"), "ngram-firsts")
     compared, copies = known.where(F.col("id") == F.col("first")), known.where(F.col("id") != F.col("first")).select("id", "first")
